@@ -2,7 +2,8 @@
 
 The built-in exact percentile keeps all distinct values of a group in one buffer. Here a sketch
 first brackets each wanted rank; then values below the bracket are only counted, and only the
-few values inside it are ordered. The answer is the exact, linearly interpolated quantile.
+few values inside it are ordered. The answer is the exact, linearly interpolated quantile. Groups
+of at most ``accuracy`` rows are small enough to be ordered as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: ``keys``, ``n`` and one column per entry of ``quantiles``."""
     names, qs = list(quantiles), list(quantiles.values())
-    margin = 2.0 / accuracy  # the sketch is off by at most 1 / accuracy of the ranks
+    margin = 4.0 / accuracy  # the sketch is off by at most 1 / accuracy of the ranks
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     probes = [max(q - margin, 0.0) for q in qs] + [min(q + margin, 1.0) for q in qs]
     brackets = rows.groupBy(*keys).agg(
@@ -32,8 +33,8 @@ def exact_quantiles(
             *[
                 F.struct(
                     F.lit(i).alias("q"),
-                    F.col("__b")[i].alias("lo"),
-                    F.col("__b")[i + len(qs)].alias("hi"),
+                    F.when(F.col("n") > accuracy, F.col("__b")[i]).otherwise(float("-inf")).alias("lo"),
+                    F.when(F.col("n") > accuracy, F.col("__b")[i + len(qs)]).otherwise(float("inf")).alias("hi"),
                 )
                 for i in range(len(qs))
             ]
@@ -54,6 +55,10 @@ def exact_quantiles(
         h = (F.col("n") - 1) * F.lit(q)
         at = lambda r: F.min(F.when((F.col("q") == i) & (F.col("__upto") > r), F.col("__v")))
         v0, v1 = at(F.floor(h)), at(F.ceil(h))
-        return v0 + (v1 - v0) * (h - F.floor(h))
+        below = F.max(F.when((F.col("q") == i) & F.col("__v").isNull(), F.col("__upto")))
+        missed = F.coalesce(below > F.floor(h), F.lit(False)) | v1.isNull()
+        return F.when(missed, F.raise_error(F.lit("quantile bracket missed")).cast("double")).otherwise(
+            v0 + (v1 - v0) * (h - F.floor(h))
+        )
 
     return ranked.groupBy(*keys, "n").agg(*[pick(i, q).alias(names[i]) for i, q in enumerate(qs)])
