@@ -124,7 +124,7 @@ def acf_sql(source: str, name: str, value: str) -> str:
     {name}_l AS (SELECT *, {lagged} FROM {name}_v),
     {name}_c AS (SELECT series, max(n) AS n, {corr} FROM {name}_l GROUP BY series),
     {name}_u AS (SELECT series, n, unnest({list(_LAGS)}) AS lag, unnest([{lists}]) AS c FROM {name}_c),
-    {name} AS (SELECT series, lag, round(CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE c END, 4) AS acf FROM {name}_u
+    {name} AS (SELECT series, lag, round(CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE c END, 4) + CAST(0 AS DOUBLE) AS acf FROM {name}_u
                WHERE n >= 10 AND lag <= n // 4)"""
 
 
@@ -328,8 +328,8 @@ def history_wide(spark, sf):
         "l_suppkey", month.cast("int").alias("iteration"), "l_discount", (F.col("l_tax") * SCALE).alias("p"), "l_returnflag", "l_linestatus"
     )
     return rows.groupBy("l_suppkey", "iteration").agg(
-        r(metrics.rmse("l_discount", "p")).alias("RMSE"),
-        r(metrics.mae("l_discount", "p")).alias("MAE"),
+        metrics.rmse("l_discount", "p").alias("RMSE"),
+        metrics.mae("l_discount", "p").alias("MAE"),
         F.count(F.lit(1)).alias("proposed"),
         F.count_if(F.col("l_linestatus") == "O").alias("skipped"),
         F.sort_array(F.collect_set("l_returnflag")).alias("added"),
@@ -341,7 +341,7 @@ def history_long(spark, sf):
     return history_wide(spark, sf).select("l_suppkey", "iteration", pairs.alias("p")).select("l_suppkey", "iteration", "p.*")
 
 
-HISTORY_SQL = f"""hist AS (SELECT l_suppkey, iteration, {R(METRIC_SQL['rmse'])} AS RMSE, {R(METRIC_SQL['mae'])} AS MAE, count(*) AS proposed,
+HISTORY_SQL = f"""hist AS (SELECT l_suppkey, iteration, {METRIC_SQL['rmse']} AS RMSE, {METRIC_SQL['mae']} AS MAE, count(*) AS proposed,
     count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS skipped, list_sort(list(DISTINCT l_returnflag)) AS added
     FROM (SELECT *, {_MONTH_SQL} AS iteration, l_discount AS y, l_tax * {SCALE}::DOUBLE AS p FROM lineitem) GROUP BY l_suppkey, iteration),
     hlong AS (SELECT l_suppkey, iteration, 'RMSE' AS metric, RMSE AS value FROM hist
@@ -350,9 +350,9 @@ HISTORY_SQL = f"""hist AS (SELECT l_suppkey, iteration, {R(METRIC_SQL['rmse'])}
                round(value - lag(value) OVER w, 4) + CAST(0 AS DOUBLE) AS delta FROM hlong WINDOW w AS (PARTITION BY l_suppkey, metric ORDER BY iteration))"""
 
 
-@query("metric_delta", f"WITH {HISTORY_SQL} SELECT * FROM deltas")
+@query("metric_delta", f"WITH {HISTORY_SQL} SELECT * REPLACE ({R('before')} AS before, {R('after')} AS after) FROM deltas")
 def metric_delta(spark, sf):
-    return metrics.metric_deltas(history_long(spark, sf), ["l_suppkey"])
+    return rounded(metrics.metric_deltas(history_long(spark, sf), ["l_suppkey"]), "before", "after")
 
 
 @query(
@@ -368,12 +368,12 @@ def best_iteration(spark, sf):
     "iteration_context",
     f"""WITH {HISTORY_SQL}, c AS (SELECT l_suppkey, iteration, RMSE, CAST(row_number() OVER w AS INTEGER) AS round,
         round(RMSE - lag(RMSE) OVER w, 4) + CAST(0 AS DOUBLE) AS rmse_delta, lag(added) OVER w AS prev FROM hist WINDOW w AS (PARTITION BY l_suppkey ORDER BY iteration))
-        SELECT l_suppkey, iteration, round, RMSE, rmse_delta, coalesce(array_to_string(prev, ','), '') AS previous_features,
+        SELECT l_suppkey, iteration, round, {R('RMSE')} AS RMSE, rmse_delta, coalesce(array_to_string(prev, ','), '') AS previous_features,
         coalesce(abs(rmse_delta) < 0.001 AND round >= 3, false) AS stop FROM c""",
 )
 def iteration_context_(spark, sf):
     out = iteration_context(history_wide(spark, sf), ["l_suppkey"])
-    return out.withColumn("previous_features", F.concat_ws(",", "previous_features"))
+    return rounded(out, "RMSE").withColumn("previous_features", F.concat_ws(",", "previous_features"))
 
 
 @query(

@@ -133,7 +133,7 @@ def sink_importance(spark, sf):
     return rounded(spark.read.schema(schema).option("header", True).csv(path), "importance_gain_norm")
 
 
-@query("sink_history", f"WITH {HISTORY_SQL} SELECT * FROM hlong")
+@query("sink_history", f"WITH {HISTORY_SQL} SELECT * REPLACE ({R('value')} AS value) FROM hlong")
 def sink_history(spark, sf):
     """Two appends: first the months before 1999, then the rest."""
     path = scratch_path(spark, "history")
@@ -141,7 +141,7 @@ def sink_history(spark, sf):
     border = 1999 * 12
     sinks.append_history(rows.where(F.col("iteration") <= border), path)
     sinks.append_history(rows.where(F.col("iteration") > border), path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rounded(spark.read.schema(rows.schema).parquet(path), "value")
 
 
 @query(
