@@ -99,7 +99,7 @@ TOP_SQL = f"""tops AS (SELECT proposal_id, doc, CASE WHEN doc IS NULL THEN ['not
     f"WITH {DOCS_SQL}, {TOP_SQL} SELECT proposal_id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS valid FROM tops",
 )
 def spec_validate_top(spark, sf):
-    found = _docs(spark, sf).select("proposal_id", specs.top_errors().alias("errors"))
+    found = specs.add_top_errors(_docs(spark, sf).select("proposal_id", "doc"))
     return found.select("proposal_id", F.concat_ws(",", "errors").alias("errors"), (F.size("errors") == 0).alias("valid"))
 
 

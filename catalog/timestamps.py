@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import HOURLY, PANEL_SQL, panel, query, table
-from tidegrid.functions.timestamps import greedy, parse_date_and_hour
+from tidegrid.functions.timestamps import add_candidates, greedy, parse_date_and_hour
 from tidegrid.operators.layout import positions
 from tidegrid.operators.recover import (
     parse_rowwise,
     resolve_blocks,
     split_unparsed,
     unambiguous_range,
-    with_candidates,
 )
 
 # Text without separators or padding; the same expression in both dialects. Every seventh
@@ -53,7 +52,7 @@ def _orders(spark, sf):
     raw = table(spark, sf, "orders").select(
         "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("series"), F.expr(ORDER_RAW).alias("raw")
     )
-    return with_candidates(raw, "raw")
+    return add_candidates(raw, "raw")
 
 
 @query(
@@ -136,7 +135,7 @@ def ts_resolve_blocks(spark, sf):
     """Hourly texts of every user, read back; ``hit`` tells whether the true hour was found."""
     rows = positions(panel(spark, sf).select("series", "ts"), HOURLY, "pos")
     raw = rows.select("series", "pos", F.col("ts").alias("true_ts"), F.expr(HOUR_RAW).alias("raw"))
-    out = resolve_blocks(with_candidates(raw, "raw"), HOURLY)
+    out = resolve_blocks(add_candidates(raw, "raw"), HOURLY)
     return out.select("series", "true_ts", "raw", "ts", (F.col("ts") == F.col("true_ts")).alias("hit"))
 
 

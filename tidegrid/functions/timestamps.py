@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.epoch import epoch_seconds
@@ -26,40 +26,47 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return epoch_seconds(later) - epoch_seconds(earlier)
 
 
-def candidates(raw: Column | str) -> Column:
-    """All legal readings in order: four-digit year first, then two-digit month first."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    parts = F.split(F.regexp_replace(raw, r"^\s+|\s+$", ""), " ")
-    digits = F.try_element_at(parts, F.lit(1))
-    hour = F.try_element_at(F.split(F.try_element_at(parts, F.lit(2)), ":"), F.lit(1)).try_cast("int")
-    size = F.length(digits)
-
-    def reading(year_len: int, month_len: int) -> Column:
-        md_len = size - year_len
-        year = F.substring(digits, md_len + 1, F.lit(year_len)).try_cast("int")
-        if year_len == 2:
-            year = year + CENTURY
-        day_len = md_len - month_len
-        month = F.substring(digits, F.lit(1), F.lit(month_len)).try_cast("int")
-        day = F.substring(digits, F.lit(month_len + 1), day_len).try_cast("int")
-        legal = (
-            md_len.between(2, 4)
-            & day_len.between(1, 2)
-            & month.between(1, 12)
-            & day.between(1, 31)
-            & hour.between(0, 23)
-        )
-        if year_len == 4:
-            legal = legal & (size >= 5) & year.between(FIRST_YEAR, LAST_YEAR)
-        zero = F.lit(0)
-        return F.when(
-            legal, F.try_make_timestamp_ntz(year, month, day, hour, zero, zero.cast("decimal(8,6)"))
-        )
+def add_candidates(df: DataFrame, raw: str, into: str = "cands") -> DataFrame:
+    """Add all legal readings in order: four-digit year first, then two-digit month first.
 
-    legal_text = digits.rlike(r"^\d+$") & (F.size(parts) >= 2) & hour.isNotNull()
-    every = F.array(reading(4, 2), reading(4, 1), reading(2, 2), reading(2, 1))
-    found = F.array_distinct(F.array_compact(every))
-    return F.when(legal_text, found).otherwise(F.array().cast("array<timestamp_ntz>"))
+    The text is cut once; the readings are integer arithmetic on the digits, so no reading is
+    attempted that could fail.
+    """
+    text = F.btrim(F.col(raw), F.lit(" \t\n\r\f\v"))
+    rest = F.substring_index(F.substring_index(text, " ", 2), " ", -1)
+    cut = df.select(
+        "*",
+        F.substring_index(text, " ", 1).alias("__digits"),
+        F.when(F.instr(text, " ") > 0, F.substring_index(rest, ":", 1).try_cast("int")).alias("__hour"),
+    )
+    digits = F.col("__digits")
+    plain = (F.translate(digits, "0123456789", "") == "") & F.length(digits).between(4, 8)
+    numbers = cut.select(
+        *df.columns, "__hour", F.length(digits).alias("__size"), F.when(plain, digits.try_cast("int")).alias("__number")
+    )
+    every = [_reading(year_len, month_len) for year_len in (4, 2) for month_len in (2, 1)]
+    found = F.array_distinct(F.array_compact(F.array(*every)))
+    usable = F.col("__number").isNotNull() & F.col("__hour").between(0, 23)
+    cands = F.when(usable, found).otherwise(F.array().cast("array<timestamp_ntz>"))
+    return numbers.select(*df.columns, cands.alias(into))
+
+
+def _reading(year_len: int, month_len: int) -> Column:
+    """The digits as month (``month_len`` digits), day (the rest) and year, NULL if not legal."""
+    number, hour = F.col("__number"), F.col("__hour")
+    day_len = F.col("__size") - year_len - month_len
+    base = 10**year_len
+    year = number % base + (CENTURY if year_len == 2 else 0)
+    front = F.floor(number / base).cast("int")
+    shift = F.when(day_len == 1, 10).otherwise(100)
+    month, day = F.floor(front / shift).cast("int"), front % shift
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last_day = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    legal = day_len.between(1, 2) & month.between(1, 12) & (day >= 1) & (day <= last_day)
+    if year_len == 4:
+        legal = legal & year.between(FIRST_YEAR, LAST_YEAR)
+    zero = F.lit(0)
+    return F.when(legal, F.try_make_timestamp_ntz(year, month, day, hour, zero, zero.cast("decimal(8,6)")))
 
 
 def greedy(cands: Column) -> Column:

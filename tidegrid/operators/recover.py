@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timestamps import best_in_range, candidates, greedy, seconds_between
+from tidegrid.functions.timestamps import best_in_range, greedy, seconds_between
 from tidegrid.operators.layout import Series, carry, join_by_series, windowed
 
 MARGIN_DAYS = 365  # how far the range of certain rows is widened on either side
@@ -87,10 +87,6 @@ def parse_rowwise(df: DataFrame, ranges: DataFrame, s: Series, cands: str = "can
     return joined.select(*df.columns, ts.alias(s.ts))
 
 
-def with_candidates(df: DataFrame, raw: str) -> DataFrame:
-    return df.withColumn("cands", candidates(raw))
-
-
 def split_unparsed(df: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
     """Parsed rows, and the quarantined rest."""
     return df.where(F.col(ts).isNotNull()), df.where(F.col(ts).isNull())

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.timestamps import parse_date_and_hour
+from tidegrid.functions.timestamps import add_candidates, parse_date_and_hour
 from tidegrid.operators.clean import to_numeric
 from tidegrid.operators.layout import Series
-from tidegrid.operators.recover import resolve_blocks, split_unparsed, with_candidates
+from tidegrid.operators.recover import resolve_blocks, split_unparsed
+from tidegrid.session import materialize
 
 STATIONS = tuple(f"w{i}" for i in range(1, 26))
 # "Task 7/...", "Task%207/..." and "task_id=7/..." all name task 7; other paths are task 0.
@@ -81,7 +82,8 @@ def scan_quarantine(
 
 def _resolved(spark, paths, stations, chunk) -> DataFrame:
     names = ["ZONEID", "TIMESTAMP", "LOAD", *stations]
-    rows = with_candidates(read_in_file_order(spark, paths, names), "TIMESTAMP")
+    # The text is parsed once; the passes of the recovery then read only the columns they need.
+    rows = add_candidates(materialize(read_in_file_order(spark, paths, names), "lines"), "TIMESTAMP")
     s = Series(keys=("task_id",), chunk=chunk)
     timed = resolve_blocks(rows, s)
     return timed.select(
