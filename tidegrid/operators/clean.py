@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +38,14 @@ def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
 
-def fill_interpolate(df: DataFrame, s: Series, cols: Sequence[str], limit: int = 24) -> DataFrame:
+def fill_interpolate(
+    df: DataFrame, s: Series, cols: Sequence[str], limit: int = 24, drop_empty: bool = False
+) -> DataFrame:
     """Linear interpolation by row position, at most ``limit`` rows from each side of a gap.
 
     The inside of a longer gap keeps the value reached ``limit`` rows after its start; leading
-    and trailing gaps take the nearest value.
+    and trailing gaps take the nearest value. ``drop_empty`` leaves out series in which one of
+    the columns has no value at all.
     """
     df = positions(df, s)
     pos = F.col(POS)
@@ -56,6 +61,9 @@ def fill_interpolate(df: DataFrame, s: Series, cols: Sequence[str], limit: int =
         backward={f"__next_{n}": e for n, e in near.items()},
     )
 
+    if drop_empty:
+        carried = _without_empty(carried, [(f"__prev_v_{c}", f"__next_v_{c}") for c in cols])
+
     def filled(c: str) -> Column:
         v0, p0 = F.col(f"__prev_v_{c}"), F.col(f"__prev_p_{c}")
         v1, p1 = F.col(f"__next_v_{c}"), F.col(f"__next_p_{c}")
@@ -72,7 +80,13 @@ def fill_interpolate(df: DataFrame, s: Series, cols: Sequence[str], limit: int =
     )
 
 
-def fill_forward(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
+def _without_empty(carried: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows that a fill can complete, judged on the carried values before the fill itself."""
+    known = [F.col(a).isNotNull() | F.col(b).isNotNull() for a, b in pairs]
+    return carried.where(reduce(and_, known))
+
+
+def fill_forward(df: DataFrame, s: Series, cols: Sequence[str], drop_empty: bool = False) -> DataFrame:
     """Last known value; leading gaps take the first known value."""
     df = positions(df, s)
     carried = carry(
@@ -82,6 +96,8 @@ def fill_forward(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
         forward={f"__prev_{c}": F.col(c) for c in cols},
         backward={f"__next_{c}": F.col(c) for c in cols},
     )
+    if drop_empty:
+        carried = _without_empty(carried, [(f"__prev_{c}", f"__next_{c}") for c in cols])
     return carried.select(
         *[
             F.coalesce(f"__prev_{c}", f"__next_{c}").alias(c) if c in cols else F.col(c)
@@ -119,9 +135,14 @@ def fill_missing(
     if load_method == "drop":
         df = drop_missing(df, [target])
         s = Series(s.keys, s.ts, s.step, s.chunk, False, s.ties)
-    for method, fill in (("interpolate", fill_interpolate), ("forward", fill_forward)):
+    done = []
+    for method in ("interpolate", "forward"):
         cols = [target] if load_method == method else []
         cols += list(stations) if weather_method == method else []
-        if cols:
-            df = fill(df, s, cols, limit) if method == "interpolate" else fill(df, s, cols)
-    return drop_missing(df, [target, *stations])
+        if cols and method == "interpolate":
+            df = fill_interpolate(df, s, cols, limit, drop_empty=True)
+        elif cols:
+            df = fill_forward(df, s, cols, drop_empty=True)
+        done += cols
+    rest = [c for c in (target, *stations) if c not in done and not (c == target and load_method == "drop")]
+    return drop_missing(df, rest) if rest else df

@@ -44,7 +44,7 @@ class Series:
     keys: tuple[str, ...] = ("series",)
     ts: str = "ts"
     step: int = 3600
-    chunk: int = 16384
+    chunk: int = 65536
     complete: bool = False
     ties: tuple[str, ...] = ()
 

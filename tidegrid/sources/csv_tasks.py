@@ -64,7 +64,7 @@ def scan_train_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     stations: Sequence[str] = STATIONS,
-    chunk: int = 16384,
+    chunk: int = 65536,
 ) -> DataFrame:
     """Training rows: true ``ts``, ``ZONEID``, numeric ``LOAD`` and stations, ``task_id``.
 
@@ -74,7 +74,7 @@ def scan_train_csv(
 
 
 def scan_quarantine(
-    spark: SparkSession, paths: str | Sequence[str], stations: Sequence[str] = STATIONS, chunk: int = 16384
+    spark: SparkSession, paths: str | Sequence[str], stations: Sequence[str] = STATIONS, chunk: int = 65536
 ) -> DataFrame:
     """The rows ``scan_train_csv`` leaves out, with their raw timestamp."""
     return split_unparsed(_resolved(spark, paths, stations, chunk))[1].drop("ts")
@@ -96,7 +96,7 @@ def _resolved(spark, paths, stations, chunk) -> DataFrame:
 
 
 def scan_all_tasks(
-    spark: SparkSession, data_dir: str, stations: Sequence[str] = STATIONS, chunk: int = 16384
+    spark: SparkSession, data_dir: str, stations: Sequence[str] = STATIONS, chunk: int = 65536
 ) -> DataFrame:
     """Every ``Task n/Ln-train.csv`` below a folder in one scan; absent tasks are simply absent."""
     return scan_train_csv(spark, f"{data_dir.rstrip('/')}/Task */L*-train.csv", stations, chunk)
