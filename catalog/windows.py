@@ -31,6 +31,7 @@ from tidegrid.operators.samples import sliding_windows
 from tidegrid.operators.scale import fit_scaler
 from tidegrid.operators.split import split_profile, split_timeseries
 from tidegrid.plans.prepare import Prepared, preprocess
+from tidegrid.session import materialize
 
 LOOSE = replace(HOURLY, complete=False)
 
@@ -93,9 +94,9 @@ _TWO_SQL = PANEL_SQL + ", " + fill_sql("panel", "filled", ("LOAD", "w1")) + (
 
 
 def _two(spark, sf):
-    """LOAD and w1 of every user without gaps."""
+    """LOAD and w1 of every user without gaps, written once: the split and the scaler read it twice."""
     df = panel(spark, sf).select("series", "ts", "LOAD", "w1")
-    return fill_interpolate(df, HOURLY, ["LOAD", "w1"]).where(F.col("LOAD").isNotNull() & F.col("w1").isNotNull())
+    return materialize(fill_interpolate(df, HOURLY, ["LOAD", "w1"], drop_empty=True), "two")
 
 
 def _weighted_sum(seq):

@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL: dict[str, str] = {}  # the temporary folder of a local master
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in SETTINGS.items():
@@ -47,14 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder of this machine, because
     there driver and executors are one process.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidegrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _LOCAL["folder"] = tempfile.mkdtemp(prefix="tidegrid-")
+    return _LOCAL["folder"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
