@@ -135,7 +135,7 @@ def ts_resolve_blocks(spark, sf):
     """Hourly texts of every user, read back; ``hit`` tells whether the true hour was found."""
     rows = positions(panel(spark, sf).select("series", "ts"), HOURLY, "pos")
     raw = rows.select("series", "pos", F.col("ts").alias("true_ts"), F.expr(HOUR_RAW).alias("raw"))
-    out = resolve_blocks(add_candidates(raw, "raw"), HOURLY)
+    out = resolve_blocks(add_candidates(raw, "raw", seconds=True), HOURLY)
     return out.select("series", "true_ts", "raw", "ts", (F.col("ts") == F.col("true_ts")).alias("hit"))
 
 

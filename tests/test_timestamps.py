@@ -116,7 +116,7 @@ def test_blocks_equal_the_plain_rule(spark, chunk):
             t = start + timedelta(hours=h)
             raw = "?" if h % 97 == 13 else f"{t.month}{t.day}{t.year} {t.hour}:00"
             rows.append((key, h, raw))
-    df = add_candidates(spark.createDataFrame(rows, "series int, pos long, raw string"), "raw")
+    df = add_candidates(spark.createDataFrame(rows, "series int, pos long, raw string"), "raw", seconds=True)
     out = pandas_of(resolve_blocks(df, Series(chunk=chunk)), "series", "pos")
     for key, group in out.groupby("series"):
         expected = resolve_brute([brute(r[2]) for r in rows if r[0] == key])

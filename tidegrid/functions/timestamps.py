@@ -26,9 +26,12 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return epoch_seconds(later) - epoch_seconds(earlier)
 
 
-def add_candidates(df: DataFrame, raw: str, into: str = "cands") -> DataFrame:
+def add_candidates(df: DataFrame, raw: str, into: str = "cands", seconds: bool = False) -> DataFrame:
     """Add all legal readings in order: four-digit year first, then two-digit month first.
 
+    Readings are timestamps, or with ``seconds`` whole seconds since 1970 (what the block
+    recovery works on).
+
     The text is cut once; the readings are integer arithmetic on the digits, so no reading is
     attempted that could fail.
     """
@@ -44,14 +47,15 @@ def add_candidates(df: DataFrame, raw: str, into: str = "cands") -> DataFrame:
     numbers = cut.select(
         *df.columns, "__hour", F.length(digits).alias("__size"), F.when(plain, digits.try_cast("int")).alias("__number")
     )
-    every = [_reading(year_len, month_len) for year_len in (4, 2) for month_len in (2, 1)]
+    every = [_reading(year_len, month_len, seconds) for year_len in (4, 2) for month_len in (2, 1)]
+    empty = F.array().cast("array<bigint>" if seconds else "array<timestamp_ntz>")
     found = F.array_distinct(F.array_compact(F.array(*every)))
     usable = F.col("__number").isNotNull() & F.col("__hour").between(0, 23)
-    cands = F.when(usable, found).otherwise(F.array().cast("array<timestamp_ntz>"))
+    cands = F.when(usable, found).otherwise(empty)
     return numbers.select(*df.columns, cands.alias(into))
 
 
-def _reading(year_len: int, month_len: int) -> Column:
+def _reading(year_len: int, month_len: int, seconds: bool) -> Column:
     """The digits as month (``month_len`` digits), day (the rest) and year, NULL if not legal."""
     number, hour = F.col("__number"), F.col("__hour")
     day_len = F.col("__size") - year_len - month_len
@@ -65,6 +69,9 @@ def _reading(year_len: int, month_len: int) -> Column:
     legal = day_len.between(1, 2) & month.between(1, 12) & (day >= 1) & (day <= last_day)
     if year_len == 4:
         legal = legal & year.between(FIRST_YEAR, LAST_YEAR)
+    if seconds:
+        date = F.make_date(year, month, day)
+        return F.when(legal, F.unix_date(date).cast("long") * 86400 + hour * 3600)
     zero = F.lit(0)
     return F.when(legal, F.try_make_timestamp_ntz(year, month, day, hour, zero, zero.cast("decimal(8,6)")))
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timestamps import best_in_range, greedy, seconds_between
+from tidegrid.functions.timestamps import best_in_range
+from tidegrid.functions.epoch import from_epoch
 from tidegrid.operators.layout import Series, carry, join_by_series, windowed
 
 MARGIN_DAYS = 365  # how far the range of certain rows is widened on either side
@@ -29,16 +30,16 @@ def unambiguous_range(df: DataFrame, keys: tuple[str, ...], cands: str = "cands"
 def resolve_blocks(df: DataFrame, s: Series, pos: str = "pos", cands: str = "cands") -> DataFrame:
     """Add ``ts``: one reading per row, chosen for whole blocks of ambiguous rows.
 
-    A block is a run of neighbouring rows with the same number (> 1) of readings. Its first and
-    last row and the certain rows around it are looked up by forward and backward carries, so
-    each row computes the choice of its block on its own: no group holds a block, which may be
-    arbitrarily long.
+    ``cands`` holds the readings in seconds. A block is a run of neighbouring rows with the same
+    number (> 1) of readings. Its first and last row and the certain rows around it are looked
+    up by forward and backward carries, so each row computes the choice of its block on its own:
+    no group holds a block, which may be arbitrarily long.
     """
-    n = F.size(cands)
+    n = F.col("__n")
     marked = windowed(
-        df,
+        df.withColumn("__n", F.size(cands)),
         s,
-        lambda w: {"__prev_n": F.size(F.lag(cands, 1).over(w)), "__next_n": F.size(F.lead(cands, 1).over(w))},
+        lambda w: {"__prev_n": F.lag("__n", 1).over(w), "__next_n": F.lead("__n", 1).over(w)},
         before=1,
         after=1,
         pos=pos,
@@ -53,17 +54,18 @@ def resolve_blocks(df: DataFrame, s: Series, pos: str = "pos", cands: str = "can
         forward={"__first": F.when((n > 1) & starts, F.col(cands)), "__low": certain},
         backward={"__last": F.when((n > 1) & ends, F.col(cands)), "__high": certain},
     )
-    chosen = F.element_at(F.col(cands), best_index("__first", "__last", "__low", "__high") + 1)
-    ranges = unambiguous_range(df, s.keys, cands)
-    joined = join_by_series(placed, ranges, s.keys, F.col(pos))
-    # Without any certain row there is no range, and every row takes its first reading.
-    ts = (
-        F.when(n == 0, F.lit(None).cast("timestamp_ntz"))
-        .when(n == 1, F.col(cands)[0])
-        .when(F.col("n_certain") > 0, chosen)
-        .otherwise(greedy(F.col(cands)))
+    # Without any certain row in a series there is no range, and rows take their first reading.
+    # Then neither carry finds an anchor, every gap is 0, and the first reading wins as well.
+    k = best_index("__first", "__last", "__low", "__high")
+    no_anchor = F.col("__low").isNull() & F.col("__high").isNull()
+    chosen = (
+        F.when(n == 1, F.col(cands)[0])
+        .when((n > 1) & no_anchor, F.col(cands)[0])
+        .when(n > 1, F.element_at(F.col(cands), k + 1))
+    )
+    return placed.select(*df.columns, chosen.alias("__seconds")).select(
+        *df.columns, from_epoch(F.col("__seconds")).alias(s.ts)
     )
-    return joined.select(*df.columns, ts.alias(s.ts))
 
 
 def best_index(first: str, last: str, low: str, high: str) -> Column:
@@ -71,11 +73,11 @@ def best_index(first: str, last: str, low: str, high: str) -> Column:
     f, z, lo, hi = F.col(first), F.col(last), F.col(low), F.col(high)
 
     def gap(c: Column, i: Column) -> Column:
-        head = F.when(lo.isNull(), 0).otherwise(seconds_between(c, lo))
-        tail = F.when(hi.isNull(), 0).otherwise(seconds_between(hi, F.get(z, i)))
-        broken = (head < 0) | (tail < 0)
-        total = F.when(broken, float("inf")).otherwise((head + tail).cast("double"))
-        return F.struct(total.alias("gap"), i.alias("k"))
+        head = F.coalesce(c - lo, F.lit(0))
+        tail = F.coalesce(hi - F.get(z, i), F.lit(0))
+        broken = F.when((head < 0) | (tail < 0), 1).otherwise(0)
+        # All readings that break the order are equally bad; the earlier one wins.
+        return F.struct(broken.alias("broken"), F.when(broken == 0, head + tail).alias("gap"), i.alias("k"))
 
     return F.array_min(F.transform(f, gap))["k"]
 

@@ -83,7 +83,7 @@ def scan_quarantine(
 def _resolved(spark, paths, stations, chunk) -> DataFrame:
     names = ["ZONEID", "TIMESTAMP", "LOAD", *stations]
     # The text is parsed once; the passes of the recovery then read only the columns they need.
-    rows = add_candidates(materialize(read_in_file_order(spark, paths, names), "lines"), "TIMESTAMP")
+    rows = add_candidates(materialize(read_in_file_order(spark, paths, names), "lines"), "TIMESTAMP", seconds=True)
     s = Series(keys=("task_id",), chunk=chunk)
     timed = resolve_blocks(rows, s)
     return timed.select(
