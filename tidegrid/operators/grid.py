@@ -32,7 +32,9 @@ def regularize(
             F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))
         ).alias("piece"),
     )
-    spine = pieces.select(
+    # The steps of one very long series are generated by many tasks; only the few piece rows move.
+    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spine = pieces.repartition(tasks, *s.keys, "piece").select(
         *s.keys,
         F.explode(
             F.sequence(

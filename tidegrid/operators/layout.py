@@ -147,40 +147,34 @@ def carry(
     """
     forward, backward = dict(forward or {}), dict(backward or {})
     group = [*s.keys, CHUNK]
-    data = df.select(
-        "*",
-        chunk_of(pos, s.chunk).alias(CHUNK),
-        *[e.alias(f"__f_{n}") for n, e in forward.items()],
-        *[e.alias(f"__b_{n}") for n, e in backward.items()],
+    data = df.withColumn(CHUNK, chunk_of(pos, s.chunk))
+    at = F.col(pos)
+    summary = data.groupBy(*group).agg(
+        *[F.max_by(e, F.when(e.isNotNull(), at)).alias(f"__l_{n}") for n, e in forward.items()],
+        *[F.min_by(e, F.when(e.isNotNull(), at)).alias(f"__r_{n}") for n, e in backward.items()],
     )
-    edges = [
-        F.expr(f"max_by(`__f_{n}`, `{pos}`) filter (where `__f_{n}` is not null)").alias(f"__l_{n}")
-        for n in forward
-    ] + [
-        F.expr(f"min_by(`__b_{n}`, `{pos}`) filter (where `__b_{n}` is not null)").alias(f"__r_{n}")
-        for n in backward
-    ]
-    summary = data.groupBy(*group).agg(*edges)
-    past = Window.partitionBy(*s.keys).orderBy(F.col(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*s.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    series = Window.partitionBy(*s.keys)
+    past = series.orderBy(F.col(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    future = series.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     borders = summary.select(
         *group,
         *[F.last(f"__l_{n}", ignorenulls=True).over(past).alias(f"__l_{n}") for n in forward],
         *[F.last(f"__r_{n}", ignorenulls=True).over(future).alias(f"__r_{n}") for n in backward],
     )
-    up = Window.partitionBy(*group).orderBy(F.col(pos)).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*group).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = data.join(borders, group)
-    return out.select(
+    chunk = Window.partitionBy(*group)
+    up = chunk.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    down = chunk.orderBy(at.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # The borders join after the windows, so their columns are not dragged through the sorts.
+    local = data.select(
         *df.columns,
-        *[
-            F.coalesce(F.last(f"__f_{n}", ignorenulls=True).over(up), F.col(f"__l_{n}")).alias(n)
-            for n in forward
-        ],
-        *[
-            F.coalesce(F.last(f"__b_{n}", ignorenulls=True).over(down), F.col(f"__r_{n}")).alias(n)
-            for n in backward
-        ],
+        CHUNK,
+        *[F.last(e, ignorenulls=True).over(up).alias(f"__f_{n}") for n, e in forward.items()],
+        *[F.last(e, ignorenulls=True).over(down).alias(f"__b_{n}") for n, e in backward.items()],
+    )
+    return local.join(borders, group).select(
+        *df.columns,
+        *[F.coalesce(f"__f_{n}", f"__l_{n}").alias(n) for n in forward],
+        *[F.coalesce(f"__b_{n}", f"__r_{n}").alias(n) for n in backward],
     )
 
 
@@ -190,8 +184,10 @@ def join_by_series(
     """Attach one row per series to all rows of that series.
 
     A plain join would send every row of a hot series to one task, so the small side is
-    repeated ``salts`` times and the big side spreads over the salts. Spark still turns this
-    into a broadcast join by itself when the measured size of ``stats`` allows it.
+    repeated ``salts`` times and the big side spreads over the salts (and skew join handling may
+    split further). Spark still turns this into a broadcast join by itself when the measured
+    size of ``stats`` allows it. ``stats`` has one row per series, so its copies stay small next
+    to the data; pass fewer ``salts`` for very many short series.
     """
     left = df.withColumn("__salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
     right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

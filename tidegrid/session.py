@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Inferring constraints from dozens of derived columns takes minutes of planning time.
     "spark.sql.constraintPropagation.enabled": "false",
+    # The JVM never compiles methods above 8,000 bytes of bytecode; longer generated code would be
+    # interpreted, so Spark should split it by expression instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
