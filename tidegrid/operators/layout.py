@@ -117,9 +117,9 @@ def windowed(
         targets.append(F.when(offset < after, home - 1))
     columns = df.columns
     if len(targets) > 1:
-        spread = df.withColumn(HOME, home).withColumn(
-            CHUNK, F.explode(F.array_compact(F.array(*targets)))
-        )
+        # Most rows have one target only; dropping the NULLs afterwards stays in generated code.
+        spread = df.withColumn(HOME, home).withColumn(CHUNK, F.explode(F.array(*targets)))
+        spread = spread.where(F.col(CHUNK).isNotNull())
     else:
         spread = df.withColumn(HOME, home).withColumn(CHUNK, F.col(HOME))
     window = Window.partitionBy(*s.keys, CHUNK).orderBy(pos)

@@ -52,5 +52,5 @@ def best_features_lines(best: DataFrame) -> DataFrame:
 
 
 def write_best_features(best: DataFrame, path: str) -> None:
-    """A feature list has at most a few hundred lines, so one text file keeps their order."""
-    best_features_lines(best).coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
+    """Text parts in line order (the parts follow each other by name)."""
+    best_features_lines(best).orderBy("line").select("value").write.text(path)
