@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
+from tidegrid.llm.common import ORACLE, QUERIES, fold, query, table  # noqa: F401
+from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.ngram_join import near_components
+from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from tidegrid.llm.url_reputation import host_of, judge_urls, path_of
 
 LINES_SQL = """
@@ -54,3 +57,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of three-word shingle sets with a Jaccard similarity of 0.9 or more."""
     return near_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ToxicityModel:
+    return fit_toxicity(docs, table(spark, sf_dir, "labels"), use=fold(F.col("doc_id"), 5) != 0)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, toxicity_model(spark, sf_dir, docs))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a document that holds a benchmark text with at most 5 % edits."""
+    return leak_rows(find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4,096 words."""
+    return pack_documents(table(spark, sf_dir, "documents"))
