@@ -29,47 +29,62 @@ PATTERNS = (
     ("starred", r"\b\w[*#@$]{2,}\w*\b"),
 )
 LETTERS = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8, 9)
+LEVELS = (1, 2, 3, 5)  # voters on the number of lexicon hits
 
 
 @dataclass
 class ToxicityModel:
-    """Terms (a word prefix; with a leading ``=`` a whole word) and the weights of the linear classifier."""
+    """Lexicon events and the weights of the linear classifier.
 
-    terms: list[str]
-    weights: np.ndarray  # terms, patterns, log of hits, bias
+    An event is (least count, term); a term is a word prefix or, with a leading ``=``, a whole word.
+    """
+
+    events: list[tuple[int, str]]
+    weights: np.ndarray  # events, patterns, hit levels, log of hits, bias
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)  # P(fires | toxic), P(fires | clean)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return _sigmoid(np.array([self.features(t) for t in texts]).reshape(len(texts), len(self.weights)) @ self.weights)
-
-    def features(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.weights))
-        hits = self._hits(text)
-        for i in hits:
-            out[i] = 1.0
-        for i, (_, p) in enumerate(_PATTERNS):
-            out[len(self.terms) + i] = p.search(text) is not None
-        out[-2], out[-1] = np.log1p(sum(hits.values())), 1.0
-        return out
-
-    def _hits(self, text: str) -> Counter:
+        if not texts:
+            return np.zeros(0)
+        return _sigmoid(np.hstack([*self.votes(texts), np.ones((len(texts), 1))]) @ self.weights)
+
+    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: the voters (events, patterns, hit levels) as 0/1, and the log of its lexicon hits."""
+        votes, hits = np.zeros((len(texts), len(self.events) + len(_PATTERNS) + len(LEVELS))), np.zeros((len(texts), 1))
+        for row, text in enumerate(texts):
+            counts, total = self._hits(text)
+            for i, (least, term) in enumerate(self.events):
+                votes[row, i] = counts[term] >= least
+            for i, (_, p) in enumerate(_PATTERNS, len(self.events)):
+                votes[row, i] = p.search(text) is not None
+            votes[row, -len(LEVELS) :] = [total >= level for level in LEVELS]
+            hits[row] = np.log1p(total)
+        return votes, hits
+
+    def _hits(self, text: str) -> tuple[Counter, int]:
+        """Occurrences of each term, and the number of words that any term matches."""
         found: Counter = Counter()
-        if not self.terms:
-            return found
-        if getattr(self, "_automaton", None) is None:
+        if not self.events:
+            return found, 0
+        if self.__dict__.get("_automaton") is None:
             self._automaton = ahocorasick.Automaton()
-            for i, term in enumerate(self.terms):
-                self._automaton.add_word(term.lstrip("="), (i, len(term.lstrip("=")), term[0] == "="))
-                if term[0] == "=" and term[1:] in self.terms:
-                    raise ValueError("a term is both a word and a prefix")
+            forms: dict[str, list[str]] = {}
+            for term in {t for _, t in self.events}:
+                forms.setdefault(term.lstrip("="), []).append(term)
+            for form, terms in forms.items():
+                self._automaton.add_word(form, (len(form), terms))
             self._automaton.make_automaton()
-        text = text.lower()
-        for end, (i, size, whole) in self._automaton.iter(text):
+        text, starts = text.lower(), set()
+        for end, (size, terms) in self._automaton.iter(text):
             a, b = end - size, end + 1
-            if (a < 0 or not text[a].isalpha()) and not (whole and b < len(text) and text[b].isalpha()):
-                found[i] += 1
-        return found
+            if a >= 0 and text[a].isalpha():
+                continue
+            for term in terms:
+                if term[0] != "=" or b == len(text) or not text[b].isalpha():
+                    found[term] += 1
+                    starts.add(a)
+        return found, len(starts)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
@@ -82,22 +97,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def terms_of(text: str) -> set[str]:
-    """The word prefixes and whole words of a text, in lower case."""
-    out = set()
-    for w in set(LETTERS.findall(text.lower())):
-        out.add("=" + w)
-        out.update(w[:k] for k in PREFIXES if len(w) >= k)
-    return out
+def events_of(text: str) -> set[tuple[int, str]]:
+    """The word prefixes and whole words of a text in lower case, each as seen once and, where so, as seen twice."""
+    prefixes: Counter = Counter()
+    for w, n in Counter(LETTERS.findall(text.lower())).items():
+        prefixes["=" + w] += n
+        for k in PREFIXES:
+            if len(w) < k:
+                break
+            prefixes[w[:k]] += n
+    return {(1, t) for t in prefixes} | {(2, t) for t, n in prefixes.items() if n > 1}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, toxic: int = 4000, clean: int = 8000, candidates: int = 4000) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, toxic) of the rows where ``use`` (on doc_id) holds, and the texts of ``docs``.
 
     At most about ``toxic`` and ``clean`` labelled rows are looked at (drawn by a hash of the id, equal texts once). From
-    them come the ``candidates`` most frequent terms of toxic texts; those that are significantly more frequent there
-    than in clean texts (log-likelihood ratio over 30) become lexicon voters as long as each covers toxic texts that the
-    voters before it don't. Labels that are NULL, ids that are NULL and texts that are NULL are not learned from. Without
+    them come the ``candidates`` most frequent events of toxic texts (a word or word prefix, seen once or twice); those
+    that are significantly more frequent there than in clean texts (three times, log-likelihood ratio over 30) become
+    lexicon voters as long as each covers toxic texts that the voters before it don't. Labels that are NULL, ids that are NULL and texts that are NULL are not learned from. Without
     labelled rows the seed words vote with default accuracies.
     """
     spark = docs.sparkSession
@@ -111,47 +129,56 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # bounded by toxic + clean
     sample = scratch.keep(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
 
-    def count(only: set[str] | None):
+    def count(only: set[tuple[int, str]] | None):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: Counter = Counter()
             for frame in frames:
                 for text in frame["text"]:
-                    terms = terms_of(text)
-                    seen.update(terms if only is None else terms & only)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+                    seen.update(events_of(text) if only is None else events_of(text) & only)
+            yield pd.DataFrame({"least": [k for k, _ in seen], "term": [t for _, t in seen], "n": list(seen.values())})
 
         return run
 
-    def frequent(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-        return rows.select("text").mapInPandas(count(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def frequent(rows: DataFrame, only: set[tuple[int, str]] | None = None) -> DataFrame:
+        counted = rows.select("text").mapInPandas(count(only), "least int, term string, n long")
+        return counted.groupBy("least", "term").agg(F.sum("n").alias("n"))
 
-    pos = {r.term: r.n for r in frequent(sample.filter("toxic = 1")).filter("n >= 5").orderBy(F.desc("n"), "term").limit(candidates).collect()}
-    neg = {r.term: r.n for r in frequent(sample.filter("toxic = 0"), set(pos)).collect()}
+    best = frequent(sample.filter("toxic = 1")).filter("n >= 5").orderBy(F.desc("n"), "least", "term").limit(candidates)
+    pos = {(r.least, r.term): r.n for r in best.collect()}
+    neg = {(r.least, r.term): r.n for r in frequent(sample.filter("toxic = 0"), set(pos)).collect()}
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    strong = sorted(t for t, n in pos.items() if n0 and n / n1 > neg.get(t, 0) / n0 and _g2(n, n1, neg.get(t, 0), n0) > 30)
-    strong = sorted({*strong, *("=" + w for w in SEEDS)})
-    where = {t: i for i, t in enumerate(strong)}
+    strong = {e for e, n in pos.items() if n0 and n / n1 > 3 * neg.get(e, 0) / n0 and _g2(n, n1, neg.get(e, 0), n0) > 30}
+    strong = sorted(strong | {(1, "=" + w) for w in SEEDS})
+    where = {e: i for i, e in enumerate(strong)}
 
     def present(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [sorted(where[t] for t in terms_of(text) if t in where) for text in frame["text"]]
-            marks = [[int(p.search(text) is not None) for _, p in _PATTERNS] for text in frame["text"]]
-            yield pd.DataFrame({"toxic": frame["toxic"], "found": found, "marks": marks})
+            found = [sorted(where[e] for e in events_of(text) if e in where) for text in frame["text"]]
+            yield pd.DataFrame({"h": frame["h"], "toxic": frame["toxic"], "found": found})
 
-    rows = sample.select("text", "toxic").mapInPandas(present, "toxic int, found array<int>, marks array<int>").collect()
+    rows = sample.mapInPandas(present, "h long, toxic int, found array<int>").collect()
     has = np.zeros((len(rows), len(strong)), bool)
     for i, r in enumerate(rows):
         has[i, r.found] = True
-    gold = np.array([r.toxic for r in rows], float)
-    chosen = _lexicon(has, gold, strong)
-    terms = [strong[i] for i in chosen]
-    votes = np.hstack([has[:, chosen], np.array([r.marks for r in rows], bool).reshape(len(rows), len(PATTERNS))]).astype(float)
-    posterior, voters = label_model(votes, gold)
-    hits = np.log1p(votes[:, : len(terms)].sum(1, keepdims=True))
-    weights = _logistic(np.hstack([votes, hits, np.ones((len(rows), 1))]), posterior, len(terms))
+    model = ToxicityModel([strong[i] for i in _lexicon(has, np.array([r.toxic for r in rows]), strong)], np.zeros(0))
+    shared = spark.sparkContext.broadcast(model)
+
+    def voted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            votes, hits = shared.value.votes(frame["text"].tolist())
+            yield pd.DataFrame({"toxic": frame["toxic"], "votes": votes.tolist(), "hits": hits[:, 0]})
+
+    rows = sample.mapInPandas(voted, "toxic int, votes array<double>, hits double").collect()
+    width = len(model.events) + len(PATTERNS) + len(LEVELS)
+    votes = np.array([r.votes for r in rows]).reshape(len(rows), width)
+    posterior, voters = label_model(votes, np.array([r.toxic for r in rows], float))
+    hits = np.array([r.hits for r in rows]).reshape(len(rows), 1)
+    model.weights = _logistic(np.hstack([votes, hits, np.ones((len(rows), 1))]), posterior, len(model.events))
+    names = [*(f"{t} x{k}" for k, t in model.events), *(n for n, _ in PATTERNS), *(f"hits {k}" for k in LEVELS)]
+    model.voters = dict(zip(names, voters, strict=True))
     scratch.drop(sample)
-    return ToxicityModel(terms, weights, dict(zip([*terms, *(n for n, _ in PATTERNS)], voters, strict=True)))
+    return model
 
 
 def _g2(a: int, n1: int, b: int, n0: int) -> float:
@@ -164,22 +191,20 @@ def _g2(a: int, n1: int, b: int, n0: int) -> float:
     return 2 * (side(a, n1) + side(b, n0))
 
 
-def _lexicon(has: np.ndarray, gold: np.ndarray, terms: list[str], most: int = 256) -> list[int]:
-    """Terms in order of the toxic texts that only they cover so far, less five for each clean text; then the seeds."""
+def _lexicon(has: np.ndarray, gold: np.ndarray, events: list[tuple[int, str]], most: int = 256) -> list[int]:
+    """Events in order of the toxic texts that only they cover so far, less two for each clean text; then the seeds."""
     left, clean, out = gold == 1, gold == 0, []
-    while len(out) < most and len(terms):
-        gain = has[left].sum(0) - 5.0 * has[clean].sum(0)
+    cost = 2.0 * has[clean].sum(0)
+    while len(out) < most:
+        gain = has[left].sum(0) - cost
         gain[out] = -np.inf
-        best = max(range(len(terms)), key=lambda i: (gain[i], -len(terms[i]), terms[i]))
+        best = max(range(len(events)), key=lambda i: (gain[i], -len(events[i][1]), events[i]))
         if gain[best] < 3:
             break
         out.append(best)
         left &= ~has[:, best]
-    seeds = {"=" + w for w in SEEDS}
-    covered = tuple(terms[i] for i in out)
-    out += [i for i, t in enumerate(terms) if t in seeds and i not in out and not t[1:].startswith(tuple(c for c in covered if c[0] != "="))]
-    prefixes = {terms[i] for i in out if terms[i][0] != "="}
-    return sorted(i for i in out if terms[i][0] != "=" or terms[i][1:] not in prefixes)
+    known = tuple(events[i][1] for i in out)
+    return out + [i for i, (_, t) in enumerate(events) if t[1:] in SEEDS and t[0] == "=" and not t[1:].startswith(known) and t not in known]
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray | None = None, rounds: int = 10, anchor: float = 20.0) -> tuple[np.ndarray, list[tuple[float, float]]]:
