@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import ORACLE, QUERIES, fold, query, table  # noqa: F401
 from tidegrid.llm.decontaminate import find_leaks, leak_rows
+from tidegrid.llm.html_blocks import extract_pages
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
@@ -81,3 +82,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4,096 words."""
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
