@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import ORACLE, QUERIES, fold, query, table  # noqa: F401
 from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.html_blocks import extract_pages
+from tidegrid.llm.language_id import fit_language_model, identify
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
@@ -88,3 +89,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs, use=fold(F.col("doc_id"), 4) != 2)
+    out = identify(docs.drop("lang"), model)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
