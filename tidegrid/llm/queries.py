@@ -10,6 +10,7 @@ from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.html_blocks import extract_pages
 from tidegrid.llm.language_id import fit_language_model, identify
 from tidegrid.llm.line_runs import drop_repeated_lines
+from tidegrid.llm.lz_fingerprint import neighbour_likeness
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -98,3 +99,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs, use=fold(F.col("doc_id"), 4) != 2)
     out = identify(docs.drop("lang"), model)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op10_lz_fingerprint")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of all documents, of their edited texts, and of their neighbours."""
+    return neighbour_likeness(table(spark, sf_dir, "documents"))
