@@ -1,20 +1,81 @@
-"""Documents to packed training sequences: toxicity, lines, near duplicates, benchmark passages, packing."""
+"""Documents to packed training sequences: toxicity, lines, near duplicates, benchmark passages, packing.
+
+Every stage gets the rows its predecessor kept, with the columns of ``documents``, and the last returns where each
+document goes. Rows without a doc_id and texts without words pass all filters; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.llm.common import Scratch, fold, table
+from tidegrid.llm.decontaminate import find_leaks, without_leaks
+from tidegrid.llm.line_runs import drop_repeated_lines
+from tidegrid.llm.ngram_join import near_components
+from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.toxicity import fit_toxicity, score_toxicity
+
+_used: list[Scratch] = []  # what the stage before has left in the shared folder
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """The stage's own tables. Its predecessor's result is written by now, so that one's tables can go."""
+    while _used:
+        _used.pop().clear()
+    _used.append(Scratch(spark, name))
+    return _used[-1]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the classifier, learned from four fifths of the labels, doesn't call toxic."""
+    _scratch(spark, "toxicity")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), use=fold(F.col("doc_id"), 5) != 0)
+    return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that are in ten or more documents; a document that loses all of them stays, empty."""
+    out = drop_repeated_lines(docs, min_docs=10, scratch=_scratch(spark, "line-dedup"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
+    groups = near_components(docs, n=5, num=80, den=100, scratch=_scratch(spark, "near-duplicates"))
+    drop = groups.filter("doc_id != component_id").select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no benchmark text, not even one with a few edits."""
+    _scratch(spark, "decontamination")
+    return without_leaks(find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequence, slot and offset of every piece of every document left."""
+    return pack_documents(docs, scratch=_scratch(spark, "packing"))
 
-from tidegrid.llm.common import Scratch, table
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a trained classifier and edit distances; tests compare with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read by the next."""
     scratch = Scratch(spark, "corpus")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

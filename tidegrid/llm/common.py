@@ -59,6 +59,10 @@ class Scratch:
         for df in frames:
             self.drop_path(df._scratch)
 
+    def clear(self) -> None:
+        """Remove everything; only once nothing reads these tables any more."""
+        self.drop_path(self.folder)
+
     def drop_path(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

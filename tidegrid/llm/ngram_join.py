@@ -182,7 +182,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_components(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, members: int = MEMBERS, tokens: int = TOKENS
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, members: int = MEMBERS, tokens: int = TOKENS, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
 
@@ -199,7 +199,7 @@ def near_components(
     3. Links are joined to components; only links that connect something are ever written.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = scratch or Scratch(spark, "ngram-join")
     hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def _pack(capacity: int, per_source: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard: int = SHARD) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, per_source: int = 4, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
     """Where every piece of every document (doc_id, text, source; optionally cluster) goes.
 
     Returns doc_id, source, cluster, piece, word_start, n_words, bin_id, slot, bin_offset: words word_start ..
@@ -110,7 +110,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, per_source: int = 4, s
     hash, whatever their source or cluster, so a hot source or a large cluster is spread over all shards.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = scratch or Scratch(spark, "packing")
     w = words(F.col("text"))
     own = F.when(F.size(w) > 0, F.xxhash64(w)) if "cluster" not in docs.columns else F.xxhash64("cluster")
     if "cluster" in docs.columns:

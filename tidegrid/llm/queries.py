@@ -13,6 +13,7 @@ from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.lz_fingerprint import neighbour_likeness
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.preferences import preference_rows, swapped_replies
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from tidegrid.llm.url_reputation import host_of, judge_urls, path_of
 
@@ -105,3 +106,54 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of all documents, of their edited texts, and of their neighbours."""
     return neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
+PREFERENCES_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), last AS (
+  SELECT conv_id, max(turn) AS at FROM t WHERE role = 'assistant' GROUP BY conv_id
+), reply AS (
+  SELECT t.conv_id, t.text FROM t JOIN last ON t.conv_id = last.conv_id AND t.turn = last.at
+), rows AS (
+  SELECT t.*, last.at, reply.conv_id IS NOT NULL AS has, CASE WHEN t.turn = last.at THEN reply.text ELSE t.text END AS other,
+         last.conv_id AS pair_id
+  FROM t JOIN last ON t.conv_id = last.conv_id AND t.turn <= last.at
+  LEFT JOIN reply ON reply.conv_id = xor(t.conv_id, 1)
+), marked AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS x, regexp_replace(other, '<(\\*)\|', '<\\\1|', 'g') AS y,
+         min(CASE WHEN NOT has OR text <> other THEN turn END) OVER (PARTITION BY conv_id) AS differs
+  FROM rows
+), rendered AS (
+  SELECT *, has AND (differs IS NULL OR turn < differs) AS common,
+         '<|' || role || '|>' || chr(10) || x || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || y || '<|end|>' || chr(10) AS b
+  FROM (SELECT * REPLACE (CASE WHEN has THEN differs ELSE -1 END AS differs) FROM marked)
+), placed AS (
+  SELECT *, coalesce(sum(length(a)) FILTER (NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS ea,
+         coalesce(sum(length(b)) FILTER (NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS eb
+  FROM rendered
+)
+SELECT conv_id, CASE WHEN NOT bool_and(has) THEN 'unpaired' WHEN bool_and(common) THEN 'same' ELSE 'pair' END AS status,
+       count(*) FILTER (common) AS n_common,
+       coalesce(string_agg(a, '' ORDER BY turn) FILTER (common), '') AS prompt,
+       coalesce(string_agg(a, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
+       CASE WHEN bool_and(has) THEN coalesce(string_agg(b, '' ORDER BY turn) FILTER (NOT common), '') END AS rejected,
+       coalesce(string_agg((ea - length(a) + 14) || '-' || (ea - 1), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans,
+       CASE WHEN bool_and(has) THEN coalesce(string_agg((eb - length(b) + 14) || '-' || (eb - 1), ',' ORDER BY turn)
+         FILTER (NOT common AND role = 'assistant'), '') END AS rejected_spans
+FROM placed GROUP BY conv_id
+"""
+
+
+@query("op4_preference_format", PREFERENCES_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply, as prompt and masked completions."""
+    rows = preference_rows(*swapped_replies(table(spark, sf_dir, "conversations")))
+
+    def shown(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return rows.select(
+        F.col("pair_id").alias("conv_id"), "status", "n_common", "prompt", "chosen", "rejected",
+        shown("chosen_spans").alias("chosen_spans"), shown("rejected_spans").alias("rejected_spans"),
+    )
