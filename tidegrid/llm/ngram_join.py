@@ -222,7 +222,8 @@ def near_components(
     one = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     sized = groups.join(one, "cls")
     parts = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / tokens)).alias("parts"))
-    placed = sized.join(parts, "hub").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), "parts"))
+    sized = sized.join(parts.filter("parts > 1"), "hub", "left").fillna(1, ["parts"])  # only few groups have more than one
+    placed = sized.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), "parts"))
     placed = scratch.keep(placed.select("hub", "cls", "doc_id", "parts", "block"), "placed")
     # the hub's set goes to each part of its group
     hubs = placed.filter("hub = cls AND parts > 1").select("hub", "cls", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
@@ -234,15 +235,15 @@ def near_components(
     split = placed.filter("parts > 1")
     if not split.isEmpty():
         roots = scratch.keep(roots, "roots")
-        known = split.join(roots, split.cls == roots.node, "left").select(split["*"], F.coalesce("root", "cls").alias("comp"))
+        known = split.join(roots, F.col("cls") == F.col("node"), "left").select(*split.columns, F.coalesce("root", "cls").alias("comp"))
         top = known.filter("hub = cls").select("hub", F.col("comp").alias("top"))
         known = scratch.keep(known.join(top, "hub"), "known")
         # the sets not joined to the hub so far, in pieces, against each part of their group
         open_ = known.filter("comp != top")
         meet = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("part != block")
-        probes = meet.select("hub", F.xxhash64("part", "block").alias("cell"), "part", F.col("block").alias("piece"), "cls", "doc_id", "comp")
-        cells = probes.select("hub", "part", "piece", "cell").distinct()
-        targets = known.join(cells, [known.hub == cells.hub, known.block == cells.part]).select(known.hub, "cell", "cls", "doc_id", "comp")
+        probes = meet.select("hub", F.xxhash64("part", "block").alias("cell"), "part", "cls", "doc_id", "comp")
+        cells = probes.select("hub", F.col("part").alias("block"), "cell").distinct()
+        targets = known.join(cells, ["hub", "block"]).select("hub", "cell", "cls", "doc_id", "comp")
         no = F.lit(False)
         more = probes.select("hub", F.col("cell").alias("block"), "cls", "doc_id", no.alias("stored"), yes.alias("probing"), "comp")
         more = more.unionByName(targets.select("hub", F.col("cell").alias("block"), "cls", "doc_id", yes.alias("stored"), no.alias("probing"), "comp"))
