@@ -104,8 +104,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _range_of(cuts: list, doc_id: Column) -> Column:
     """Position of ``doc_id`` among the cuts, in descending order: 0 for the largest ids; NULL ids come last."""
-    out = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > doc_id)) if cuts else F.lit(0)
-    return F.coalesce(out, F.lit(len(cuts) + 1)) if cuts else F.when(doc_id.isNull(), 1).otherwise(0)
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > doc_id)) if cuts else F.lit(0)
+    return F.when(doc_id.isNull(), len(cuts) + 1).otherwise(above)
 
 
 def neighbour_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:

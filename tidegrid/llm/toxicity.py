@@ -31,6 +31,7 @@ PATTERNS = (
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8, 9)
 LEVELS = (1, 2, 3, 5)  # voters on the number of lexicon hits
+DENSITIES = (0.2, 0.5, 1.0)  # voters on two or more hits and so many per 1,000 characters
 
 
 @dataclass
@@ -41,7 +42,7 @@ class ToxicityModel:
     """
 
     events: list[tuple[int, str]]
-    weights: np.ndarray  # events, patterns, hit levels, log of hits, bias
+    weights: np.ndarray  # events, patterns, hit levels, densities, log of hits, bias
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)  # P(fires | toxic), P(fires | clean)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -50,15 +51,16 @@ class ToxicityModel:
         return _sigmoid(np.hstack([*self.votes(texts), np.ones((len(texts), 1))]) @ self.weights)
 
     def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the voters (events, patterns, hit levels) as 0/1, and the log of its lexicon hits."""
-        votes, hits = np.zeros((len(texts), len(self.events) + len(_PATTERNS) + len(LEVELS))), np.zeros((len(texts), 1))
+        """Of each text: the voters (events, patterns, hit levels, densities) as 0/1, and the log of its lexicon hits."""
+        votes, hits = np.zeros((len(texts), len(self.events) + len(_PATTERNS) + len(LEVELS) + len(DENSITIES))), np.zeros((len(texts), 1))
         for row, text in enumerate(texts):
             counts, total = self._hits(text)
             for i, (least, term) in enumerate(self.events):
                 votes[row, i] = counts[term] >= least
             for i, (_, p) in enumerate(_PATTERNS, len(self.events)):
                 votes[row, i] = p.search(text) is not None
-            votes[row, -len(LEVELS) :] = [total >= level for level in LEVELS]
+            dense = [total >= 2 and 1000 * total >= d * len(text) for d in DENSITIES]
+            votes[row, len(self.events) + len(_PATTERNS) :] = [*(total >= level for level in LEVELS), *dense]
             hits[row] = np.log1p(total)
         return votes, hits
 
@@ -135,7 +137,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
             for frame in frames:
                 for text in frame["text"]:
                     seen.update(events_of(text) if only is None else events_of(text) & only)
-            yield pd.DataFrame({"least": [k for k, _ in seen], "term": [t for _, t in seen], "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"least": [k for k, _ in seen], "term": [t for _, t in seen], "n": list(seen.values())})
 
         return run
 
@@ -170,12 +173,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
             yield pd.DataFrame({"toxic": frame["toxic"], "votes": votes.tolist(), "hits": hits[:, 0]})
 
     rows = sample.mapInPandas(voted, "toxic int, votes array<double>, hits double").collect()
-    width = len(model.events) + len(PATTERNS) + len(LEVELS)
+    width = len(model.events) + len(PATTERNS) + len(LEVELS) + len(DENSITIES)
     votes = np.array([r.votes for r in rows]).reshape(len(rows), width)
     posterior, voters = label_model(votes, np.array([r.toxic for r in rows], float))
     hits = np.array([r.hits for r in rows]).reshape(len(rows), 1)
     model.weights = _logistic(np.hstack([votes, hits, np.ones((len(rows), 1))]), posterior, len(model.events))
-    names = [*(f"{t} x{k}" for k, t in model.events), *(n for n, _ in PATTERNS), *(f"hits {k}" for k in LEVELS)]
+    names = [*(f"{t} x{k}" for k, t in model.events), *(n for n, _ in PATTERNS), *(f"hits {k}" for k in LEVELS), *(f"density {d}" for d in DENSITIES)]
     model.voters = dict(zip(names, voters, strict=True))
     scratch.drop(sample)
     return model
@@ -211,8 +214,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None = None, rounds: int =
     """Posterior of each row's label, and (P(fires | toxic), P(fires | clean)) of each voter.
 
     A two-class mixture of Bernoulli voters fitted by expectation-maximisation. ``gold`` labels start it and stay as
-    ``anchor`` pseudo-rows; without them a voter starts at (0.3, 0.01). Voters that fire together within a class more
-    often than independent ones share their weight: each is divided by one plus the sum of its positive correlations.
+    ``anchor`` pseudo-rows; without them a voter starts at (0.3, 0.01). Voters that still fire together among the rows
+    of the toxic class share their weight: each is divided by one plus the sum of its correlations above 0.2.
     """
     n, v = votes.shape
     hit, miss, rate = np.full(v, 0.3), np.full(v, 0.01), 0.1
@@ -220,22 +223,23 @@ def label_model(votes: np.ndarray, gold: np.ndarray | None = None, rounds: int =
         hit = (votes[gold == 1].sum(0) + 0.5) / (gold.sum() + 1)
         miss = (votes[gold == 0].sum(0) + 0.5) / ((1 - gold).sum() + 1)
         rate = gold.mean()
-    hit0, miss0, share = hit, miss, np.ones(v)
-    q = np.full(n, rate)
-    for _ in range(rounds if n else 0):
+    hit0, miss0, q = hit, miss, np.full(n, rate)
+
+    def posterior(share: np.ndarray) -> np.ndarray:
         on, off = np.log(hit / miss), np.log((1 - hit) / (1 - miss))
-        q = _sigmoid(np.log(rate / (1 - rate)) + votes @ (on * share) + (1 - votes) @ (off * share))
-        hit = (q @ votes + anchor * hit0) / (q.sum() + anchor)
-        miss = ((1 - q) @ votes + anchor * miss0) / ((1 - q).sum() + anchor)
-        hit, miss = np.clip(hit, 1e-4, 1 - 1e-4), np.clip(miss, 1e-5, 1 - 1e-4)
+        return _sigmoid(np.log(rate / (1 - rate)) + votes @ (on * share) + (1 - votes) @ (off * share))
+
+    for _ in range(rounds if n else 0):
+        q = posterior(np.ones(v))
+        hit = np.clip((q @ votes + anchor * hit0) / (q.sum() + anchor), 1e-4, 1 - 1e-4)
+        miss = np.clip(((1 - q) @ votes + anchor * miss0) / ((1 - q).sum() + anchor), 1e-5, 1 - 1e-4)
         rate = float(np.clip(q.mean(), 1e-3, 0.9))
-        apart = (votes - hit) * np.sqrt(q)[:, None]
-        cov = apart.T @ apart / max(q.sum(), 1)
-        sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
-    return q, list(zip(hit.tolist(), miss.tolist(), strict=True))
+    apart = (votes - hit) * np.sqrt(q)[:, None]
+    cov = apart.T @ apart / max(q.sum(), 1)
+    sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
+    corr = cov / np.outer(sd, sd)
+    np.fill_diagonal(corr, 0)
+    return posterior(1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))), list(zip(hit.tolist(), miss.tolist(), strict=True))
 
 
 def _logistic(x: np.ndarray, target: np.ndarray, terms: int, penalty: float = 1.0) -> np.ndarray:
