@@ -13,7 +13,12 @@ fixed number of consecutive positions:
   the chunks before (``index_rows``).
 
 A series has at most one row per time step (plus a few duplicates), therefore a chunk never
-holds more than about ``chunk`` rows, however the rows are spread over series.
+holds more than about ``chunk`` rows, however the rows are spread over series. ``step`` has to
+fit the data: readings much denser than the step make chunks that much larger.
+
+No row is lost: rows whose key is NULL are a series of their own (keys are joined as one struct,
+in which NULL equals NULL), and rows without a time have no position, get NULL for everything
+that depends on order, and lie in spare chunks, spread by a hash.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ CHUNK = "__chunk"
 POS = "__pos"
 SLOT = "__slot"
 HOME = "__home"
+KEY = "__key"
+SPARE = 1024  # chunks for the rows without a position
 
 
 @dataclass(frozen=True)
@@ -61,26 +68,32 @@ def chunk_of(pos: Column | str, size: int) -> Column:
     return F.floor(pos / F.lit(size))
 
 
+def _placed(pos: Column, df: DataFrame, size: int) -> Column:
+    """The chunk of a position; rows without one are spread over spare chunks far below all others."""
+    hashed = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return F.when(pos.isNotNull(), F.floor(pos / F.lit(size))).otherwise(-(1 << 40) - F.pmod(F.xxhash64(*hashed), F.lit(SPARE)))
+
+
 def index_rows(df: DataFrame, s: Series, into: str = POS, total: str | None = None) -> DataFrame:
     """Exact 0-based row number of each row within its series, in time order.
 
     Costs one counting pass (partially aggregated to one row per chunk) and one shuffle by
     ``(series, chunk)``. ``total`` additionally names a column for the row count of the series.
+    Rows without a time get no number and don't count.
     """
-    keyed = df.withColumn(CHUNK, chunk_of(slot_of(s), s.chunk))
-    group = [*s.keys, CHUNK]
-    counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*s.keys)
+    slot = slot_of(s)
+    keyed = df.withColumn(KEY, F.struct(*s.keys)).withColumn(CHUNK, _placed(slot, df, s.chunk))
+    group = [KEY, CHUNK]
+    timed = F.col(s.ts).isNotNull()
+    counts = keyed.where(timed).groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(KEY)
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     columns = [*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")]
     if total:
         columns.append(F.sum("__n").over(whole).alias(total))
     inside = Window.partitionBy(*group).orderBy(s.ts, *s.ties)
-    return (
-        keyed.join(counts.select(*columns), group)
-        .withColumn(into, F.col("__before") + F.row_number().over(inside) - 1)
-        .drop(CHUNK, "__before")
-    )
+    number = F.col("__before") + F.row_number().over(inside) - 1
+    return keyed.join(counts.select(*columns), group, "left").withColumn(into, F.when(timed, number)).drop(KEY, CHUNK, "__before")
 
 
 def positions(df: DataFrame, s: Series, into: str = POS) -> DataFrame:
@@ -102,13 +115,14 @@ def windowed(
 
     ``build`` receives the ordered window and returns the new columns by name. The window is
     cut into chunks; rows near a border are copied to the neighbour chunk and dropped afterwards.
+    Rows without a position get NULL.
     """
     own = pos is None
     if own:
         pos = POS
         df = positions(df, s, pos)
     size = max(s.chunk, before, after, 1)
-    home = chunk_of(pos, size)
+    home = _placed(F.col(pos), df, size)
     offset = F.col(pos) - home * size
     targets = [home]
     if before:
@@ -126,7 +140,7 @@ def windowed(
     added = build(window)
     kept = [c for c in columns if c not in added and not (own and c == POS)]
     return (
-        spread.select(*kept, HOME, CHUNK, *[c.alias(n) for n, c in added.items()])
+        spread.select(*kept, HOME, CHUNK, *[F.when(F.col(pos).isNotNull(), c).alias(n) for n, c in added.items()])
         .where(F.col(HOME) == F.col(CHUNK))
         .drop(HOME, CHUNK)
     )
@@ -143,17 +157,18 @@ def carry(
 
     The summary (one row per chunk) is scanned in order per series; the rows themselves are
     only ever ordered inside their chunk. Look-ahead uses a descending window: a frame ending
-    at unbounded following would be recomputed from scratch for every row.
+    at unbounded following would be recomputed from scratch for every row. Rows without a position
+    keep their own value and give none to others.
     """
     forward, backward = dict(forward or {}), dict(backward or {})
-    group = [*s.keys, CHUNK]
-    data = df.withColumn(CHUNK, chunk_of(pos, s.chunk))
+    group = [KEY, CHUNK]
     at = F.col(pos)
-    summary = data.groupBy(*group).agg(
+    data = df.withColumn(KEY, F.struct(*s.keys)).withColumn(CHUNK, _placed(at, df, s.chunk))
+    summary = data.where(at.isNotNull()).groupBy(*group).agg(
         *[F.max_by(e, F.when(e.isNotNull(), at)).alias(f"__l_{n}") for n, e in forward.items()],
         *[F.min_by(e, F.when(e.isNotNull(), at)).alias(f"__r_{n}") for n, e in backward.items()],
     )
-    series = Window.partitionBy(*s.keys)
+    series = Window.partitionBy(KEY)
     past = series.orderBy(F.col(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     future = series.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     borders = summary.select(
@@ -165,30 +180,27 @@ def carry(
     up = chunk.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     down = chunk.orderBy(at.desc()).rowsBetween(Window.unboundedPreceding, 0)
     # The borders join after the windows, so their columns are not dragged through the sorts.
+    placed = at.isNotNull()
     local = data.select(
         *df.columns,
-        CHUNK,
-        *[F.last(e, ignorenulls=True).over(up).alias(f"__f_{n}") for n, e in forward.items()],
-        *[F.last(e, ignorenulls=True).over(down).alias(f"__b_{n}") for n, e in backward.items()],
+        *group,
+        *[F.when(placed, F.last(e, ignorenulls=True).over(up)).otherwise(e).alias(f"__f_{n}") for n, e in forward.items()],
+        *[F.when(placed, F.last(e, ignorenulls=True).over(down)).otherwise(e).alias(f"__b_{n}") for n, e in backward.items()],
     )
-    return local.join(borders, group).select(
+    return local.join(borders, group, "left").select(
         *df.columns,
         *[F.coalesce(f"__f_{n}", f"__l_{n}").alias(n) for n in forward],
         *[F.coalesce(f"__b_{n}", f"__r_{n}").alias(n) for n in backward],
     )
 
 
-def join_by_series(
-    df: DataFrame, stats: DataFrame, keys: Sequence[str], spread_on: Column, salts: int = 32
-) -> DataFrame:
-    """Attach one row per series to all rows of that series.
+def join_by_series(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach one row per series to all rows of that series; rows of series without one get NULL.
 
-    A plain join would send every row of a hot series to one task, so the small side is
-    repeated ``salts`` times and the big side spreads over the salts (and skew join handling may
-    split further). Spark still turns this into a broadcast join by itself when the measured
-    size of ``stats`` allows it. ``stats`` has one row per series, so its copies stay small next
-    to the data; pass fewer ``salts`` for very many short series.
+    NULL keys match NULL keys. Spark broadcasts ``stats`` where its measured size allows it; beyond
+    that the rows of a hot series are split over tasks by the skew handling of adaptive execution,
+    which copies only that series' row of ``stats``.
     """
-    left = df.withColumn("__salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
-    right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    right = stats.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(right, same, "left").drop(*[f"__{k}" for k in keys])

@@ -27,7 +27,7 @@ def exact_quantiles(
     brackets = rows.groupBy(*keys).agg(
         F.percentile_approx("__v", probes, accuracy).alias("__b"), F.count(F.lit(1)).alias("n")
     )
-    joined = join_by_series(rows, brackets, list(keys), F.col("__v"))
+    joined = join_by_series(rows, brackets, list(keys))
     each = F.explode(
         F.array(
             *[

@@ -84,7 +84,7 @@ def best_index(first: str, last: str, low: str, high: str) -> Column:
 
 def parse_rowwise(df: DataFrame, ranges: DataFrame, s: Series, cands: str = "cands") -> DataFrame:
     """Row-by-row choice by the range of the series, without looking at neighbours."""
-    joined = join_by_series(df, ranges, s.keys, F.hash(cands))
+    joined = join_by_series(df, ranges, s.keys)
     ts = best_in_range(F.col(cands), F.col("range_start"), F.col("range_end"))
     return joined.select(*df.columns, ts.alias(s.ts))
 

@@ -13,15 +13,15 @@ from tidegrid.operators.layout import join_by_series
 
 @dataclass(frozen=True)
 class Scaler:
-    """``stats`` has one row per series with ``c_<col>`` (centre) and ``s_<col>`` (scale)."""
+    """``stats`` has one row per series with ``c_<col>`` (centre) and ``s_<col>`` (scale). Rows of a
+    series without training rows stay and get NULL."""
 
     stats: DataFrame
     keys: tuple[str, ...]
     cols: tuple[str, ...]
-    spread_on: str
 
     def _with_stats(self, df: DataFrame) -> DataFrame:
-        return join_by_series(df, self.stats, self.keys, F.xxhash64(self.spread_on))
+        return join_by_series(df, self.stats, self.keys)
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         out = {c: (F.col(c) - F.col(f"c_{c}")) / F.col(f"s_{c}") for c in self.cols}
@@ -46,7 +46,6 @@ def fit_scaler(
     cols: Sequence[str],
     kind: str = "standard",
     split: str = "split",
-    spread_on: str = "ts",
 ) -> Scaler:
     """``standard``: mean and population deviation; ``minmax``: minimum and range. A constant
     column gets scale 1."""
@@ -61,4 +60,4 @@ def fit_scaler(
         width = F.stddev_pop(c) if kind == "standard" else F.max(c) - F.min(c)
         exprs += [centre.alias(f"c_{c}"), F.when(width == 0, F.lit(1.0)).otherwise(width).alias(f"s_{c}")]
     stats = df.where(F.col(split) == "train").groupBy(*keys).agg(*exprs)
-    return Scaler(stats, tuple(keys), tuple(cols), spread_on)
+    return Scaler(stats, tuple(keys), tuple(cols))

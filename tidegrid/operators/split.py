@@ -29,7 +29,8 @@ def split_timeseries(
     method: str = "sequential",
     gap: int = 0,
 ) -> DataFrame:
-    """Add ``split``. Rows of the gap behind the training part belong to no split and are dropped.
+    """Add ``split``. Rows of the gap behind the training part belong to no split and are dropped;
+    rows without a time are kept with a NULL split.
 
     ``yearly`` tests on the last year of a series, validates on the one before, and falls back
     to ``sequential`` for series with fewer than three years.
@@ -40,7 +41,7 @@ def split_timeseries(
     numbered = index_rows(df, s, ROW, ROWS)
     if method == "yearly":
         # One row per series and calendar year, so the ranking never sees the rows themselves.
-        years = df.groupBy(*s.keys, F.year(s.ts).alias("__year")).agg(F.lit(1).alias("__one"))
+        years = df.where(F.col(s.ts).isNotNull()).groupBy(*s.keys, F.year(s.ts).alias("__year")).agg(F.lit(1).alias("__one"))
         newest = Window.partitionBy(*s.keys).orderBy(F.col("__year").desc())
         ranked = years.select(*s.keys, "__year", F.row_number().over(newest).alias("__k"))
         last = ranked.groupBy(*s.keys).agg(
@@ -48,14 +49,15 @@ def split_timeseries(
             F.max(F.when(F.col("__k") == 1, F.col("__year"))).alias("__test"),
             F.max(F.when(F.col("__k") == 2, F.col("__year"))).alias("__val"),
         )
-        numbered = join_by_series(numbered, last, s.keys, F.col(ROW))
+        numbered = join_by_series(numbered, last, s.keys)
         year = F.year(s.ts)
         label = F.when(F.col("__years") < 3, label).otherwise(
             F.when(year == F.col("__test"), F.lit("test"))
             .when(year == F.col("__val"), F.lit("val"))
             .otherwise(F.lit("train"))
         )
-    return numbered.select(*df.columns, label.alias("split")).where(F.col("split").isNotNull())
+    timed = F.col(s.ts).isNotNull()
+    return numbered.select(*df.columns, F.when(timed, label).alias("split")).where(F.col("split").isNotNull() | ~timed)
 
 
 def split_profile(df: DataFrame, keys: tuple[str, ...], ts: str) -> DataFrame:
