@@ -366,14 +366,16 @@ def best_iteration(spark, sf):
 
 @query(
     "iteration_context",
-    f"""WITH {HISTORY_SQL}, c AS (SELECT l_suppkey, iteration, RMSE, CAST(row_number() OVER w AS INTEGER) AS round,
-        round(RMSE - lag(RMSE) OVER w, 4) + CAST(0 AS DOUBLE) AS rmse_delta, lag(added) OVER w AS prev FROM hist WINDOW w AS (PARTITION BY l_suppkey ORDER BY iteration))
-        SELECT l_suppkey, iteration, round, {R('RMSE')} AS RMSE, rmse_delta, coalesce(array_to_string(prev, ','), '') AS previous_features,
+    f"""WITH {HISTORY_SQL}, c AS (SELECT l_suppkey, iteration, RMSE, MAE, CAST(row_number() OVER w AS INTEGER) AS round,
+        round(RMSE - lag(RMSE) OVER w, 4) + CAST(0 AS DOUBLE) AS rmse_delta, round(MAE - lag(MAE) OVER w, 4) + CAST(0 AS DOUBLE) AS mae_delta,
+        flatten(list(added) OVER (PARTITION BY l_suppkey ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS prev
+        FROM hist WINDOW w AS (PARTITION BY l_suppkey ORDER BY iteration))
+        SELECT l_suppkey, iteration, round, {R('RMSE')} AS RMSE, {R('MAE')} AS MAE, rmse_delta, mae_delta, coalesce(array_to_string(prev[-5:], ','), '') AS previous_features,
         coalesce(abs(rmse_delta) < 0.001 AND round >= 3, false) AS stop FROM c""",
 )
 def iteration_context_(spark, sf):
     out = iteration_context(history_wide(spark, sf), ["l_suppkey"])
-    return rounded(out, "RMSE").withColumn("previous_features", F.concat_ws(",", "previous_features"))
+    return rounded(out, "RMSE", "MAE").withColumn("previous_features", F.concat_ws(",", "previous_features"))
 
 
 @query(

@@ -278,32 +278,26 @@ _RANK_SQL = """strong AS (SELECT series, event_type AS f, row_number() OVER (PAR
 @query(
     "propose_features",
     f"""WITH {TYPES_SQL}, typed0 AS (SELECT series, ts, coalesce(LOAD, 0) AS LOAD FROM typed), {acf_sql('typed0', 'a', 'LOAD')},
-        far AS (SELECT series, lag, acf, row_number() OVER (PARTITION BY series ORDER BY abs(acf) DESC, lag) AS k FROM a),
-        boosted AS (SELECT series, lag, CASE WHEN k <= 2 THEN 0.9 WHEN k = 3 THEN -0.5 ELSE acf END AS acf FROM far), {_RANK_SQL},
+        {_RANK_SQL},
         fam AS (SELECT DISTINCT series, 1 AS prio, CAST(0 AS DOUBLE) AS o, 'ts_cycles' AS name, 'time' AS type, NULL AS target_col, 'ts' AS time_col,
-                '{{"features":["hour"],"cyclical":true}}' AS params FROM boosted),
-        lags AS (SELECT series, 2, -acf, 'LOAD_lag_' || lag, 'lag', 'LOAD', NULL, '{{"lag":' || lag || '}}' FROM boosted WHERE acf > 0.5 AND lag NOT IN (0, 1, 2, 23, 24, 25)),
-        rolls AS (SELECT series, 3, -acf, 'LOAD_rolling_' || lag || '_mean', 'rolling', 'LOAD', NULL, '{{"window":' || lag || ',"stat":"mean"}}' FROM boosted
+                '{{"features":["hour"],"cyclical":true}}' AS params FROM a),
+        lags AS (SELECT series, 2, -acf, 'LOAD_lag_' || lag, 'lag', 'LOAD', NULL, '{{"lag":' || lag || '}}' FROM a WHERE acf > 0.5 AND lag NOT IN (0, 1, 2, 23, 24, 25)),
+        rolls AS (SELECT series, 3, -acf, 'LOAD_rolling_' || lag || '_mean', 'rolling', 'LOAD', NULL, '{{"window":' || lag || ',"stat":"mean"}}' FROM a
                   WHERE acf > 0.5 AND lag >= 2 AND lag NOT IN (23, 24, 25)),
         diffs AS (SELECT series, 4, acf, 'lag_1_minus_lag_' || lag, 'cross', NULL, NULL, '{{"col1":"lag_1","col2":"lag_' || lag || '","operation":"subtract"}}'
-                  FROM boosted WHERE acf < -0.3 AND lag = 24),
-        prods AS (SELECT x.series, 5, CAST(y.k - 1 AS DOUBLE), x.f || '_multiply_' || y.f, 'cross', NULL, NULL, '{{"col1":"' || x.f || '","col2":"' || y.f || '","operation":"multiply"}}'
-                  FROM strong x JOIN strong y ON y.series = x.series AND x.k = 1 AND y.k IN (2, 3)),
+                  FROM a WHERE acf < -0.3 AND lag = 24),
+        prods AS (SELECT x.series, 5, CAST((y.k - 1) * (y.k - 2) // 2 + x.k AS DOUBLE), x.f || '_multiply_' || y.f, 'cross', NULL, NULL, '{{"col1":"' || x.f || '","col2":"' || y.f || '","operation":"multiply"}}'
+                  FROM strong x JOIN strong y ON y.series = x.series AND x.k < y.k AND y.k <= 10),
         u AS (SELECT * FROM fam UNION ALL SELECT * FROM lags UNION ALL SELECT * FROM rolls UNION ALL SELECT * FROM diffs UNION ALL SELECT * FROM prods),
         n AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY prio, o, name) - 1 AS INTEGER) AS pos FROM u)
         SELECT series, 2 AS iteration, pos, name, type, target_col, time_col, params FROM n WHERE pos < 5""",
 )
 def propose_features_(spark, sf):
-    """Proposals per event type. The three strongest correlations are raised above (or below) the
-    thresholds so that every rule fires on these data; importance is the value per event type."""
+    """Proposals per event type, from its own correlations; importance is the value per event type."""
     df = by_type(spark, sf).select("series", "ts", F.coalesce("LOAD", F.lit(0.0)).alias("LOAD"))
     rows = profile.acf(profile.indexed_target(df, HOURLY, "LOAD"), HOURLY, "LOAD")
-    k = F.row_number().over(Window.partitionBy("series").orderBy(F.abs("acf").desc(), "lag"))
-    raised = rows.withColumn("k", k).select(
-        "series", "lag", F.when(F.col("k") <= 2, 0.9).when(F.col("k") == 3, -0.5).otherwise(F.col("acf")).alias("acf")
-    )
     value = F.sum(F.round(F.col("value") * 100).cast("long")).alias("g")
     per_type = table(spark, sf, "events").groupBy((F.col("user_id") % 5 + 1).alias("series"), "event_type").agg(value)
     rank = F.row_number().over(Window.partitionBy("series").orderBy(F.col("g").desc(), "event_type"))
     strongest = per_type.select("series", rank.alias("rank"), F.col("event_type").alias("feature"))
-    return propose_features(raised, strongest, _FEATURES, ["series"], "LOAD", "ts", iteration=2)
+    return propose_features(rows, strongest, _FEATURES, ["series"], "LOAD", "ts", iteration=2)

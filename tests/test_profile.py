@@ -138,7 +138,7 @@ def test_proposals_follow_the_rules(spark):
     assert got["name"].tolist() == ["LOAD_rolling_24_mean", "LOAD_lag_48", "LOAD_lag_168", "LOAD_rolling_23_mean", "LOAD_rolling_48_mean"]
     full = ["hour", "lag_1", "lag_12", "lag_24", "lag_48", "lag_168", "rolling_mean_23_load", "rolling_mean_48_load", "rolling_mean_168_load", "ts_hour_sin"]
     rest = pandas_of(propose_features(rows, top, full, ["scope"]), "pos")
-    assert rest["name"].tolist() == ["lag_1_minus_lag_12", "temp_multiply_lag_1", "temp_multiply_hour"]
+    assert rest["name"].tolist() == ["lag_1_minus_lag_12", "temp_multiply_lag_1", "temp_multiply_hour", "lag_1_multiply_hour"]
 
 
 def test_sinks_round_trip(spark, tmp_path):

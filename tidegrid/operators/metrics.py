@@ -59,19 +59,17 @@ def metrics_by(
 
 
 def metric_deltas(history: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Change of each metric against the previous iteration, 4 decimals.
+    """Change of each metric against the state before the round, 4 decimals.
 
-    ``history``: run columns, ``iteration``, ``metric``, ``value``.
+    ``history``: run columns, ``iteration``, ``metric``, ``value`` and, where it was recorded, ``before``;
+    without it the previous round's value is taken.
     """
     w = Window.partitionBy(*run, "metric").orderBy("iteration")
     previous = F.lag("value").over(w)
-    return history.select(
-        *run,
-        "iteration",
-        "metric",
-        previous.alias("before"),
-        F.col("value").alias("after"),
-        F.round(F.col("value") - previous, 4).alias("delta"),
+    if "before" in history.columns:
+        previous = F.coalesce("before", previous)
+    return history.select(*run, "iteration", "metric", previous.alias("before"), F.col("value").alias("after")).select(
+        "*", F.round(F.col("after") - F.col("before"), 4).alias("delta")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.operators.layout import Series
@@ -20,9 +20,11 @@ from tidegrid.operators.profile import (
     trend,
 )
 
-# Thresholds of the proposal strategy (fixed), and how many features one round adds at most.
+# Thresholds of the proposal strategy (fixed), how many features one round adds at most, and how many of
+# the most important ones are crossed with each other. These limits are part of the strategy.
 HIGH_ACF, LOW_ACF = 0.5, -0.3
 PER_ROUND = 5
+TOP_FEATURES = 10
 STOP_DELTA, STOP_FROM = 0.001, 3
 LAST_FEATURES = 5
 
@@ -81,22 +83,32 @@ def dataset_profile(
     )
 
 
-def iteration_context(history: DataFrame, run: Sequence[str]) -> DataFrame:
+def _change(history: DataFrame, metric: str, w: WindowSpec) -> Column:
+    """Change of a metric in a round: against ``<metric>_before`` where recorded, else the previous round."""
+    before = F.lag(metric).over(w)
+    if f"{metric}_before" in history.columns:
+        before = F.coalesce(f"{metric}_before", before)
+    return F.round(F.col(metric) - before, 4)
+
+
+def iteration_context(history: DataFrame, run: Sequence[str], metrics: Sequence[str] = ("RMSE", "MAE")) -> DataFrame:
     """State before the next round, from one row per run and iteration
-    (``iteration, RMSE, added`` = array of column names).
+    (``iteration``, the metrics, ``added`` = array of column names; ``<metric>_before`` where recorded).
 
-    The change is taken against the true previous round; the advice to stop needs three rounds.
+    ``<metric>_delta`` is the change in the round, ``previous_features`` the last five of all columns
+    added before it. The advice to stop needs three rounds.
     """
     w = Window.partitionBy(*run).orderBy("iteration")
-    delta = F.round(F.col("RMSE") - F.lag("RMSE").over(w), 4)
-    rank = F.row_number().over(w)
+    # A run has a handful of rounds, so their columns fit in one row.
+    so_far = F.flatten(F.collect_list("added").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    present = [m for m in metrics if m in history.columns]
     rows = history.select(
         *run,
         "iteration",
-        "RMSE",
-        delta.alias("rmse_delta"),
-        F.lag("added").over(w).alias("__added"),
-        rank.alias("round"),
+        *present,
+        *[_change(history, m, w).alias(f"{m.lower()}_delta") for m in present],
+        so_far.alias("__added"),
+        F.row_number().over(w).alias("round"),
     )
     stop = (F.abs("rmse_delta") < STOP_DELTA) & (F.col("round") >= STOP_FROM)
     last = F.slice(F.col("__added"), F.greatest(F.size("__added") - (LAST_FEATURES - 1), F.lit(1)), LAST_FEATURES)
@@ -104,8 +116,8 @@ def iteration_context(history: DataFrame, run: Sequence[str]) -> DataFrame:
         *run,
         "iteration",
         "round",
-        "RMSE",
-        "rmse_delta",
+        *present,
+        *[f"{m.lower()}_delta" for m in present],
         F.coalesce(last, F.array().cast("array<string>")).alias("previous_features"),
         F.coalesce(stop, F.lit(False)).alias("stop"),
     )
@@ -114,16 +126,11 @@ def iteration_context(history: DataFrame, run: Sequence[str]) -> DataFrame:
 def history_summary(history: DataFrame, run: Sequence[str], metrics: Sequence[str] = ("RMSE", "MAE")) -> DataFrame:
     """One line per round: counts, the changed metrics as text, the first five new columns.
 
-    ``history``: run columns, ``iteration, proposed, skipped, added`` (array) and the metrics.
+    ``history``: run columns, ``iteration, proposed, skipped, added`` (array) and the metrics, with
+    ``<metric>_before`` where recorded (then the first round has its change, too).
     """
     w = Window.partitionBy(*run).orderBy("iteration")
-    changes = [
-        F.when(
-            (F.col(m) - F.lag(m).over(w)).isNotNull(),
-            F.format_string(f"{m}:%+.4f", F.round(F.col(m) - F.lag(m).over(w), 4)),
-        )
-        for m in metrics
-    ]
+    changes = [F.when(_change(history, m, w).isNotNull(), F.format_string(f"{m}:%+.4f", _change(history, m, w))) for m in metrics]
     return history.select(
         *run,
         "iteration",
@@ -153,10 +160,10 @@ def propose_features(
 
     In this order: a missing family (lag, rolling, calendar); a lag and a rolling mean at every
     lag with a high correlation, the difference to that lag where it is strongly negative; and
-    products of the three most important features. Lags next to an existing one and columns that
+    products of the ten most important features, the strongest pairs first. Lags next to an existing one and columns that
     exist already are left out.
 
-    ``acf_rows``: ``keys, lag, acf``; ``strongest``: ``keys, rank, feature`` for ranks 1 to 3.
+    ``acf_rows``: ``keys, lag, acf``; ``strongest``: ``keys, rank, feature`` for ranks 1 to 10.
     """
     near = {k + d for k in _existing(features, rf"^(?:{re.escape(target)}_)?lag_(\d+)$") for d in (-1, 0, 1)}
     near_roll = {
@@ -226,8 +233,9 @@ def propose_features(
     parts = [acf_rows.select(*keys, F.explode(F.array_compact(by_lag)).alias("p"))]
     if families:
         parts.append(acf_rows.select(*keys).distinct().select(*keys, F.explode(F.array(*families)).alias("p")))
+    ranks = range(1, TOP_FEATURES + 1)
     at = lambda i: F.max(F.when(F.col("rank") == i, F.col("feature")))
-    top = strongest.groupBy(*keys).agg(at(1).alias("f1"), at(2).alias("f2"), at(3).alias("f3"))
+    top = strongest.groupBy(*keys).agg(*[at(i).alias(f"f{i}") for i in ranks])
     product = lambda i, a, b: spec(
         5,
         F.lit(float(i)),
@@ -236,7 +244,8 @@ def propose_features(
         False,
         F.concat(F.lit('{"col1":"'), F.col(a), F.lit('","col2":"'), F.col(b), F.lit('","operation":"multiply"}')),
     )
-    pairs = F.array(product(1, "f1", "f2"), product(2, "f1", "f3"))
+    ordered = [(a, b) for b in ranks for a in range(1, b)]
+    pairs = F.array(*[product(i, f"f{a}", f"f{b}") for i, (a, b) in enumerate(ordered, 1)])
     parts.append(top.select(*keys, F.explode(pairs).alias("p")).where(F.col("p.name").isNotNull()))
     every = parts[0]
     for part in parts[1:]:
