@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import ORACLE, QUERIES, fold, query, table  # noqa: F401
+from tidegrid.llm.common import LOWER, ORACLE, QUERIES, UPPER, fold, query, table  # noqa: F401
 from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.html_blocks import extract_pages
 from tidegrid.llm.language_id import fit_language_model, identify
@@ -15,7 +15,7 @@ from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.preferences import preference_rows, swapped_replies
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
-from tidegrid.llm.url_reputation import host_of, judge_urls, path_of
+from tidegrid.llm.url_reputation import TWO_LABEL_SUFFIXES, host_of, judge_urls, path_of
 
 LINES_SQL = """
 WITH lines AS (
@@ -47,14 +47,62 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BAD_SHARE = 0.5
 
 
-@query("op7_url_filter")
+Z = 1.645
+
+
+def _strength_sql(name: str, keys: str) -> str:
+    """Groups of one level and the strength of its prior, as ``url_reputation`` defines it."""
+    return f"""{name} AS (SELECT {keys}, sum(n) AS n, sum(bad) AS bad FROM every GROUP BY {keys}),
+    {name}_t AS (SELECT sum(n) AS N, count(*) AS K, sum(n * n) AS Q, sum(bad * bad / n) AS E, sum(bad) / sum(n) AS p0 FROM {name} WHERE n > 0),
+    {name}_k AS (SELECT p0, 1 / least(greatest(coalesce(((E - N * p0 * p0) / nullif(p0 * (1 - p0), 0) - (K - 1)) / nullif(N - Q / N - (K - 1), 0), 0.5), 0.001), 0.95) - 1 AS k
+      FROM {name}_t)"""
+
+
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{start}') THEN '{h + start}:{verdict}'"
+    for verdict, h, start in sorted(RULES, key=lambda x: -len(x[1] + x[2]))
+)
+REPUTATION_SQL = rf"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM parts LEFT JOIN marks ON try_cast(nullif(regexp_extract(path, '^/[a-z]+/(\d{{1,18}})', 1), '') AS BIGINT) = doc_id GROUP BY host
+), every AS (
+  SELECT *, array_to_string(string_split(host, '.')[(CASE WHEN two THEN -3 ELSE -2 END):], '.') AS domain,
+         array_to_string(string_split(host, '.')[(CASE WHEN two THEN -2 ELSE -1 END):], '.') AS suffix
+  FROM (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') IN ({_TWO}) AS two FROM counted)
+), {_strength_sql('s', 'suffix')}, {_strength_sql('d', 'domain, suffix')}, {_strength_sql('h', 'host')}, shrunk AS (
+  SELECT host, e.n, e.bad, hk.k, (d.bad + dk.k * (s.bad + sk.k * coalesce(sk.p0, 0.5)) / (s.n + sk.k)) / (d.n + dk.k) AS m
+  FROM every e JOIN s USING (suffix) JOIN d USING (domain, suffix), s_k sk, d_k dk, h_k hk
+), beta AS (
+  SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM shrunk
+), fame AS (
+  SELECT host, a / (a + b) AS mean, greatest(a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS low FROM beta
+), judged AS (
+  SELECT page_id, host, path, CASE {_FITS} END AS hit, mean, low FROM parts JOIN fame USING (host)
+)
+SELECT page_id, host, path, string_split(hit, ':')[1] AS rule,
+       coalesce(string_split(hit, ':')[2], CASE WHEN low > {BAD_SHARE} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS bad_mean, round(low, 6) AS bad_lower
+FROM judged
+"""
+
+
+@query("op7_url_filter", REPUTATION_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and host reputation for every page; a page's outcome is the label of the document its url names."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     named = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract(path_of(F.col("url")), r"^/[a-z]+/(\d{1,18})", 1).try_cast("long").alias("doc_id"))
     outcomes = named.join(labels, "doc_id", "left").select("host", "bad")
-    return judge_urls(pages, outcomes, RULES, BAD_SHARE).select("page_id", "host", "path", "rule", "verdict", "bad_mean", "bad_lower")
+    out = judge_urls(pages, outcomes, RULES, BAD_SHARE, Z)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_mean", 6).alias("bad_mean"), F.round("bad_lower", 6).alias("bad_lower"))
 
 
 @query("op8_ngram_join")
