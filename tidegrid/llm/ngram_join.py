@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ class Signatures:
     in neighbouring classes. For class c the symmetric difference of a link is at most
     ``d = 2 u[c] (den - num) / (den + num)``, so of ``d + s`` ranges of the hash space at least ``s`` hold the same
     n-grams in both sets. A signature is the content of one range. Ranges without n-grams are left out, unless a set has
-    ``s`` of them or more: a link may then rest on empty ranges alone.
+    ``s`` of them or more: a link may then rest on empty ranges alone. ``s`` is chosen so that this hardly happens.
     """
 
     def __init__(self, num: int, den: int):
@@ -70,7 +71,7 @@ class Signatures:
         d = 2 * self.ends[c] * (self.den - self.num) // (self.den + self.num)
         if d == 0:
             return np.zeros(0, np.uint64)  # only equal sets link
-        spare = 2 + d // 16
+        spare = self._spare(c, d)
         parts = d + spare
         cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
         cuts = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]])
@@ -79,6 +80,12 @@ class Signatures:
         out = _mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ _mix(tag + np.uint64(1)))
         return out if (count == 0).sum() >= spare else out[count > 0]
 
+    def _spare(self, c: int, d: int) -> int:
+        """More than the empty ranges that the smallest sets of the class are likely to have."""
+        parts = 2 + 1.1 * d
+        empty = parts * math.exp(-self.ends[c] * self.num**2 / self.den**2 / parts)
+        return 2 + math.ceil(1.1 * empty + 1.5 * math.sqrt(empty))
+
 
 def trie_links(sets: list[np.ndarray], stored: np.ndarray, probing: np.ndarray, comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links between probing and stored sets that connect components; ``comp`` has each set's component at the start.
@@ -216,9 +223,12 @@ def near_components(
 
     kind = dict(docs.dtypes)["doc_id"]
     base = scratch.keep(hashed.mapInArrow(classes, f"doc_id {kind}, n long, cls long, sigs array<long>"), "sets")
-    sig = base.select("cls", F.explode("sigs").alias("sig"))
+    sig = base.select("cls", F.explode("sigs").alias("sig")).repartition("sig")  # moved once, for the aggregate and the join
     shared = sig.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).filter("hub < top").select("sig", "hub")
     groups = scratch.keep(sig.join(shared, "sig").select("hub", "cls").distinct(), "groups")
+    thin = scratch.keep(base.select("doc_id", "n", "cls"), "classes")
+    scratch.drop(base)
+    base = thin
     one = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     sized = groups.join(one, "cls")
     parts = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / tokens)).alias("parts"))
