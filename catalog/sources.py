@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -30,7 +31,7 @@ from catalog.profiles import (
 from catalog.timestamps import HOUR_RAW, candidates_sql, resolve_sql
 from tidegrid.operators import metrics, profile
 from tidegrid.operators.features import generate_lag_features
-from tidegrid.session import scratch_path
+from tidegrid.session import materialize, scratch_path
 from tidegrid.sources import csv_tasks, sinks
 
 _MEASURES = ("LOAD", *STATIONS)
@@ -44,7 +45,7 @@ def _write_train(df, path: str) -> None:
         *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c) for c in _MEASURES],
         "ts",
     )
-    ordered = rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").drop("ts")
+    ordered = rows.repartitionByRange("ts").sortWithinPartitions("ts").drop("ts")
     ordered.write.option("header", True).csv(path)
 
 
@@ -73,7 +74,7 @@ def scan_train_csv(spark, sf):
 def scan_all_tasks(spark, sf):
     """One task per event type (the other task numbers are absent), read by a single scan."""
     folder = scratch_path(spark, "tasks")
-    rows = by_type(spark, sf)
+    rows = materialize(by_type(spark, sf), "typed")  # the readings are aggregated once for all tasks
     for task in range(1, len(EVENT_TYPES) + 1):
         _write_train(rows.where(F.col("series") == task), f"{folder}/Task {task}/L{task}-train.csv")
     return csv_tasks.scan_all_tasks(spark, folder, STATIONS)
@@ -147,18 +148,17 @@ def sink_history(spark, sf):
 @query(
     "sink_best_features",
     f"""WITH {GAINS_SQL}, best AS (SELECT feature FROM shares ORDER BY importance_gain DESC, feature LIMIT 10),
-        n AS (SELECT count(*) AS n FROM lineitem) SELECT feature AS value FROM best
-        UNION ALL SELECT '# best feature set (iteration ' || CAST(n AS VARCHAR) || ')' FROM n UNION ALL SELECT '# val RMSE: 0.5'
+        n AS (SELECT count(*) AS n, round(sqrt(avg((l_discount - l_tax) * (l_discount - l_tax))) + 1.3e-8, 4) AS rmse FROM lineitem) SELECT feature AS value FROM best
+        UNION ALL SELECT '# best feature set (iteration ' || CAST(n AS VARCHAR) || ')' FROM n UNION ALL SELECT '# val RMSE: ' || CAST(rmse AS VARCHAR) FROM n
         UNION ALL SELECT '# number of features: 10' UNION ALL SELECT ''""",
 )
 def sink_best_features(spark, sf):
-    """The ten strongest features as a text report; the iteration number is the number of items."""
+    """The ten strongest features in order of their gain as a text report, with the error of a discount forecast by the
+    tax; the iteration number is the number of items."""
     path = scratch_path(spark, "best")
-    top = profile.importance_top(gains(spark, sf))
-    n = table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("iteration"))
-    best = top.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").select(
-        "iteration", F.lit(0.5).alias("rmse"), F.xxhash64("feature").alias("pos"), "feature"
-    )
-    best = best.withColumn("pos", F.pmod("pos", F.lit(1000)))
+    top = profile.importance_top(gains(spark, sf))  # ten rows
+    of = table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("iteration"), r(metrics.rmse("l_discount", "l_tax"), 4).alias("rmse"))
+    pos = F.row_number().over(Window.orderBy(F.col("gain").desc(), "feature"))
+    best = top.crossJoin(F.broadcast(of)).select("iteration", "rmse", pos.alias("pos"), "feature")
     sinks.write_best_features(best, path)
     return spark.read.text(path)

@@ -156,3 +156,18 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_importance(table, str(tmp_path / "i"))
     back = spark.read.option("header", True).csv(str(tmp_path / "i")).agg(F.sum(F.col("importance_gain_norm").cast("double"))).first()[0]
     assert math.isclose(back, 100)
+
+
+def test_short_series_keep_a_row(spark):
+    df = spark.sql("SELECT s AS series, timestamp_ntz'2020-01-01' + make_dt_interval(0, CAST(i AS INT)) AS ts, CAST(i * i AS DOUBLE) AS LOAD"
+                   " FROM VALUES ('short', 1), ('short', 2), ('long', 0) AS t(s, n) LATERAL VIEW explode(sequence(1, IF(s = 'long', 60, n))) x AS i").distinct()
+    got = profile.acf(profile.indexed_target(df, SMALL, "LOAD"), SMALL, "LOAD").collect()
+    assert [(r["lag"], r["acf"]) for r in got if r["series"] == "short"] == [(1, None)]
+    assert all(r["acf"] is not None for r in got if r["series"] == "long") and len(got) > 2
+
+
+def test_new_text_columns_have_counts_only(spark):
+    before = spark.createDataFrame([(1,), (2,)], "a int")
+    after = before.withColumn("word", F.when(F.col("a") == 1, "x")).withColumn("b", F.col("a") * 2)
+    got = {r["column"]: r for r in profile.describe_new_columns(before, after).collect()}
+    assert (got["word"]["count"], got["word"]["mean"], got["word"]["q50"]) == (1, None, None) and got["b"]["mean"] == 3

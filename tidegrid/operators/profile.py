@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from tidegrid.functions.epoch import epoch_seconds
 from tidegrid.operators.layout import POS, Series, index_rows, windowed
@@ -64,7 +65,7 @@ def acf(indexed: DataFrame, s: Series, target: str, lags: Sequence[int] | None =
 
     All lags share one window; the pair sums are combined per task before they are moved.
     Without explicit lags those above a quarter of the series are left out; an undefined
-    correlation is 0.
+    correlation is 0. Series of fewer than ten points keep a row, with NULL.
     """
     chosen = [k for k in (ACF_LAGS if lags is None else lags) if k >= 1]
     shifted = windowed(
@@ -87,10 +88,9 @@ def acf(indexed: DataFrame, s: Series, target: str, lags: Sequence[int] | None =
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__acf_{k}").alias("acf")) for k in chosen])
     limit = F.floor(F.col("n") / 4) if lags is None else F.col("n") - 1
     return (
-        wide.where(F.col("n") >= MIN_POINTS)
-        .select(*s.keys, "n", F.explode(pairs).alias("__p"))
-        .where(F.col("__p.lag") <= limit)
-        .select(*s.keys, "__p.lag", "__p.acf")
+        wide.select(*s.keys, "n", F.explode(pairs).alias("__p"))
+        .where(F.col("__p.lag") <= F.greatest(limit, F.lit(min(chosen))))
+        .select(*s.keys, "__p.lag", F.when(F.col("n") >= MIN_POINTS, F.col("__p.acf")).alias("acf"))
     )
 
 
@@ -162,15 +162,17 @@ def task_profile(df: DataFrame, key: str, ts: str, target: str) -> DataFrame:
 
 
 def describe_new_columns(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row of statistics per added numeric column; a message row if nothing was added."""
+    """One row of statistics per added column; columns that hold no numbers have counts only. A message
+    row if nothing was added."""
     types = {f.name: f.dataType.simpleString() for f in after.schema.fields}
     new = [c for c in after.columns if c not in before.columns]
     if not new:
         return before.sparkSession.sql("select 'no new columns' as message")
-    value = {c: F.col(c).cast("double") for c in new}
+    numbers = {f.name for f in after.schema.fields if isinstance(f.dataType, (NumericType, BooleanType))}
+    value = {c: F.col(c).cast("double") if c in numbers else F.lit(None).cast("double") for c in new}
     wide = after.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[f(value[c]).alias(f"__{k}_{c}") for c in new for k, f in _BASIC.items()],
+        *[(F.count(c) if k == "count" else f(value[c])).alias(f"__{k}_{c}") for c in new for k, f in _BASIC.items()],
     )
     entries = F.array(
         *[
