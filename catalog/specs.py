@@ -179,23 +179,25 @@ def spec_validate_params(spark, sf):
     return found.select("proposal_id", "pos", F.col("errors").isNull().alias("skipped"), F.concat_ws(",", "errors").alias("errors"))
 
 
-_CAP = 160  # validation rows in this example: look-back beyond 120 is refused
-
-
 @query(
     "spec_filter_oversized",
     f"""WITH {DOCS_SQL}, {TOP_SQL}, {ITEMS_SQL}, {FEATURE_SQL}, {PARAM_SQL},
         judged AS (SELECT c.proposal_id, c.pos, c.name, c.kind, c.params, len(c.errors) + coalesce(len(p.errors), 0) AS bad FROM checked c
                    JOIN params_checked p ON p.proposal_id = c.proposal_id AND p.pos = c.pos JOIN tops t ON t.proposal_id = c.proposal_id AND len(t.errors) = 0),
-        good AS (SELECT * FROM judged WHERE proposal_id NOT IN (SELECT proposal_id FROM judged WHERE bad > 0))
-        SELECT proposal_id, pos, name, kind AS type, coalesce(CASE WHEN kind = 'lag' THEN CAST(params ->> '$.lag' AS BIGINT) > 120
-        WHEN kind = 'rolling' THEN CAST(params ->> '$.window' AS BIGINT) > 120 END, false) AS removed FROM good""",
+        good AS (SELECT * FROM judged WHERE proposal_id NOT IN (SELECT proposal_id FROM judged WHERE bad > 0)),
+        rows AS (SELECT greatest(1, CAST(floor(count(DISTINCT date_trunc('hour', ts)) * 0.15) AS BIGINT) - 40) AS cap FROM events)
+        SELECT proposal_id, pos, name, kind AS type, coalesce(CASE WHEN kind = 'lag' THEN CAST(params ->> '$.lag' AS BIGINT) > cap
+        WHEN kind = 'rolling' THEN CAST(params ->> '$.window' AS BIGINT) > cap END, false) AS removed FROM good, rows""",
 )
 def spec_filter_oversized(spark, sf):
-    """Items of the proposals without any error, and whether the cap removes them."""
+    """Items of the proposals without any error, and whether a cap on the look-back removes them: 40 rows less than
+    the validation rows of the hours of all events together, at 15 %."""
     valid = specs.validate(_docs(spark, sf), ["proposal_id"], COLUMNS)
-    removed = specs.oversized(specs.safe_cap(F.lit(_CAP)))
-    return valid.select("proposal_id", "pos", "name", "type", removed.alias("removed"))
+    hours = table(spark, sf, "events").agg(F.count_distinct(F.date_trunc("hour", F.col("ts"))).alias("n"))
+    cap = hours.select(specs.safe_cap(F.floor(F.col("n") * 0.15)).alias("cap"))
+    removed = specs.oversized(F.col("cap"))
+    return valid.crossJoin(F.broadcast(cap)).select(  # one row
+        "proposal_id", "pos", "name", "type", removed.alias("removed"))
 
 
 # ---- names and leakage: column names made from part and line numbers ----------------------------

@@ -62,3 +62,16 @@ def test_scaler_keeps_series_without_training_rows(spark):
         got = scaler.transform(df, "_s").collect()
         assert len(got) == 5 and [r.LOAD_s for r in got if r.series == "b"] == [None] and [r.LOAD_s for r in got if r.series is None] == [0.0]
         assert scaler.inverse(scaler.transform(df)).where("series = 'a'").agg(F.sum("LOAD")).first()[0] == pytest.approx(9.0)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from tidegrid.session import materialize, scratch_scope
+
+    kept = materialize(spark.range(3), "outer")
+    with scratch_scope(spark):
+        inner = materialize(kept.selectExpr("id + 1 AS id"), "inner")
+        path = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert inner.count() == 3 and path.exists()
+    assert not path.exists() and kept.count() == 3

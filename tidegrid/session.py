@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ SETTINGS = {
 
 
 _LOCAL: dict[str, str] = {}  # the temporary folder of a local master
+_MADE: list[str] = []  # paths below the shared folder that this process has handed out
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -64,13 +67,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables made inside the block when it ends.
+
+    Results that read them have to be written or collected inside. Other paths are never touched.
+    """
+    start = len(_MADE)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in _MADE[start:]:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _MADE[start:]
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage in a way that survives the loss of any executor.
+    Cuts the lineage in a way that survives the loss of any executor. The copy stays until the enclosing
+    ``scratch_scope`` ends, or for good without one.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
