@@ -13,7 +13,6 @@ from catalog.base import (
     PANEL_SQL,
     R,
     STATIONS,
-    SYSTEM_SQL,
     daily_orders,
     fill_sql,
     panel,
@@ -21,7 +20,6 @@ from catalog.base import (
     r,
     rounded,
     split_sql,
-    system,
 )
 from catalog.features import ROUND_IN_BASE, baseline_sql
 from tidegrid.functions import arrays
@@ -129,33 +127,28 @@ def sliding_windows_(spark, sf):
     )
 
 
-_SYS_SQL = SYSTEM_SQL + ", " + fill_sql("sys", "whole", ("LOAD", "w1")) + (
-    """, s24 AS (SELECT series, ts, list(LOAD) OVER o AS a FROM whole
+_WIDE_SQL = _TWO_SQL + """, w24 AS (SELECT series, ts, list(LOAD) OVER o AS a, list(w1) OVER o AS b FROM two
        WINDOW o AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
-       full24 AS (SELECT * FROM s24 WHERE len(a) = 24)"""
-)
+       full24 AS (SELECT series, ts, unnest([0, 1]) AS channel, unnest([a, b]) AS a FROM w24 WHERE len(a) = 24)"""
+_WEIGHTS, _BIASES = (1.5, 0.5), (0.25, -0.5)  # an affine of its own for either channel
 
 
-def _system_samples(spark, sf):
-    df = system(spark, sf).select("series", "ts", "LOAD", "w1")
-    filled = fill_interpolate(df, HOURLY, ["LOAD", "w1"])
-    samples = sliding_windows(filled, HOURLY, [], "LOAD", seq_len=23, pred_len=1)
-    return samples.select(
-        "series", "ts", F.concat(arrays.channel(F.col("x"), 0), F.col("y")).alias("seq")
-    )
+def _wide_samples(spark, sf):
+    """24 steps of [LOAD, w1] from every hour of every user."""
+    return sliding_windows(_two(spark, sf), HOURLY, ["w1"], "LOAD", seq_len=24, pred_len=0)
 
 
 @query(
     "patches",
-    f"""WITH {_SYS_SQL}, padded AS (SELECT series, ts, list_concat(a, [0.0::DOUBLE, 0.0::DOUBLE]) AS a FROM full24)
-        SELECT series, ts, CAST(k AS INTEGER) AS patch, {", ".join(f"{R(f'a[k * 2 + {j}]')} AS v{j}" for j in range(1, 5))}
-        FROM padded, (SELECT unnest(range(0, 12)) AS k)""",
+    f"""WITH {_WIDE_SQL}, padded AS (SELECT series, ts, channel, list_concat(a, [0.0::DOUBLE, 0.0::DOUBLE]) AS a FROM full24)
+        SELECT series, ts, CAST(channel AS INTEGER) AS channel, 12 AS n_patches, {R('list_sum([a[(i // 4) * 2 + i % 4 + 1] * (i + 1) for i in range(0, 48)])', 4)} AS weighted FROM padded""",
 )
 def patches(spark, sf):
+    """The patches of every sample of every user, channel by channel, condensed to a position-weighted sum."""
     cfg = arrays.default_patch_config(24)
-    pieces = arrays.patches(F.col("seq"), 24, cfg["patch_len"], cfg["stride"])
-    exploded = _system_samples(spark, sf).select("series", "ts", F.posexplode(pieces).alias("patch", "piece"))
-    return exploded.select("series", "ts", "patch", *[r(F.col("piece")[j - 1]).alias(f"v{j}") for j in range(1, 5)])
+    pieces = arrays.channel_patches(F.col("x"), 2, 24, cfg["patch_len"], cfg["stride"])
+    rows = _wide_samples(spark, sf).select("series", "ts", F.posexplode(pieces).alias("channel", "pieces"))
+    return rows.select("series", "ts", "channel", F.size("pieces").alias("n_patches"), r(_weighted_sum(F.flatten("pieces")), 4).alias("weighted"))
 
 
 @query(
@@ -171,31 +164,28 @@ def patch_config(spark, sf):
 
 @query(
     "instance_norm",
-    f"""WITH {_SYS_SQL}, st AS (SELECT series, ts, a, list_avg(a) AS m, sqrt(list_var_pop(a) + 1e-5) AS sd, a[24] AS z FROM full24),
-        n AS (SELECT *, unnest(range(1, 25)) AS i FROM st)
-        SELECT series, ts, CAST(i - 1 AS INTEGER) AS step, {R('(a[i] - m) / sd')} AS by_mean, {R('(a[i] - z) / sd')} AS by_last,
-        {R('a[i]', 4)} AS restored FROM n""",
+    f"""WITH {_WIDE_SQL}, st AS (SELECT *, list_avg(a) AS m, sqrt(list_var_pop(a) + 1e-5) AS sd, a[24] AS z,
+            CASE channel WHEN 0 THEN {_WEIGHTS[0]}::DOUBLE ELSE {_WEIGHTS[1]}::DOUBLE END AS w, CASE channel WHEN 0 THEN {_BIASES[0]}::DOUBLE ELSE {_BIASES[1]}::DOUBLE END AS b FROM full24)
+        SELECT series, ts, CAST(channel AS INTEGER) AS channel, {R('list_sum([((a[i] - m) / sd * w + b) * i for i in range(1, 25)])', 4)} AS by_mean,
+        {R('list_sum([((a[i] - z) / sd * w + b) * i for i in range(1, 25)])', 4)} AS by_last, {R('list_sum([((((a[i] - m) / sd * w + b) - b) / (w + 1e-10) * sd + m) * i for i in range(1, 25)])', 4)} AS restored FROM st""",
 )
 def instance_norm(spark, sf):
-    seq = F.col("seq")
-    mean, last = F.col("by_mean"), F.col("by_last")
-    both = _system_samples(spark, sf).select(
-        "*",
-        arrays.instance_stats(seq).alias("by_mean"),
-        arrays.instance_stats(seq, subtract_last=True).alias("by_last"),
+    """Both normalisations of every sample of every user, and the way back, as position-weighted sums per channel."""
+    x = F.col("x")
+    stats = _wide_samples(spark, sf).select(
+        "series", "ts", "x", arrays.channel_stats(x, 2).alias("mean"), arrays.channel_stats(x, 2, subtract_last=True).alias("last")
     )
-    outputs = both.select(
+    normed = stats.select(
         "series",
         "ts",
-        arrays.normalize(seq, mean).alias("m"),
-        arrays.normalize(seq, last).alias("l"),
-        arrays.denormalize(arrays.normalize(seq, mean, 1.5, 0.25), mean, 1.5, 0.25).alias("d"),
-    )
-    zipped = F.arrays_zip("m", "l", "d")
-    rows = outputs.select("series", "ts", F.posexplode(zipped).alias("step", "v"))
-    return rows.select(
-        "series", "ts", "step", r("v.m").alias("by_mean"), r("v.l").alias("by_last"), r("v.d", 4).alias("restored")
+        "mean",
+        arrays.normalize_channels(x, F.col("mean"), _WEIGHTS, _BIASES).alias("m"),
+        arrays.normalize_channels(x, F.col("last"), _WEIGHTS, _BIASES).alias("l"),
     )
+    back = normed.select("*", arrays.denormalize_channels(F.col("m"), F.col("mean"), _WEIGHTS, _BIASES).alias("d"))
+    sums = [F.struct(*[_weighted_sum(arrays.channel(F.col(c), j)).alias(c) for c in ("m", "l", "d")]) for j in (0, 1)]
+    rows = back.select("series", "ts", F.posexplode(F.array(*sums)).alias("channel", "v"))
+    return rows.select("series", "ts", "channel", r("v.m", 4).alias("by_mean"), r("v.l", 4).alias("by_last"), r("v.d", 4).alias("restored"))
 
 
 # ---- scalers -----------------------------------------------------------------------------------

@@ -47,3 +47,19 @@ def test_patch_sizes(spark):
 def test_bar(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (-0.01,), (1.0,)], "v double")
     assert [r[0] for r in df.select(acf_bar("v")).collect()] == ["·", "+" + "█" * 10, "-█", "+" + "█" * 20]
+
+
+def test_channels_have_their_own_statistics_and_affine(spark):
+    x = np.round(np.random.default_rng(4).normal([5, -20, 0], [1, 8, 0], (24, 3)), 4)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<array<double>>")
+    w, b = [1.5, 0.5, 2.0], [0.25, -0.5, 1.0]
+    for last in (False, True):
+        stats = df.select("x", arrays.channel_stats(F.col("x"), 3, last).alias("s"))
+        normed = stats.select("s", arrays.normalize_channels(F.col("x"), F.col("s"), w, b).alias("n"))
+        centre = x[-1] if last else x.mean(0)
+        np.testing.assert_allclose(np.array(normed.first()["n"]), (x - centre) / np.sqrt(x.var(0) + 1e-5) * w + b, rtol=1e-7, atol=1e-9)
+        back = normed.select(arrays.denormalize_channels(F.col("n"), F.col("s"), w, b).alias("b")).first()["b"]
+        np.testing.assert_allclose(np.array(back), x, rtol=1e-6, atol=1e-8)
+    got = df.select(arrays.channel_patches(F.col("x"), 3, 24, 4, 2).alias("p")).first()["p"]
+    padded = np.vstack([x, np.zeros((2, 3))])
+    assert np.array(got).shape == (3, 12, 4) and all(got[c][k] == padded[2 * k : 2 * k + 4, c].tolist() for c in range(3) for k in range(12))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,29 @@ def denormalize(seq: Column, stats: Column, weight: float = 1.0, bias: float = 0
     return F.transform(
         seq, lambda v: (v - bias) / (weight + EPS * EPS) * stats["scale"] + stats["centre"]
     )
+
+
+def per_channel(x: Column, channels: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f(sequence, index)`` of every channel of a step-major sample, as an array over the channels."""
+    return F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda j: f(F.transform(x, lambda row: row[j]), j))
+
+
+def channel_patches(x: Column, channels: int, seq_len: int, patch_len: int, stride: int, pad_end: bool = True) -> Column:
+    """[channel][patch][step]: every channel of a ``[steps][channels]`` sample is cut on its own."""
+    return per_channel(x, channels, lambda seq, _: patches(seq, seq_len, patch_len, stride, pad_end))
+
+
+def channel_stats(x: Column, channels: int, subtract_last: bool = False) -> Column:
+    """``struct(centre, scale)`` of every channel of a sample."""
+    return per_channel(x, channels, lambda seq, _: instance_stats(seq, subtract_last))
+
+
+def normalize_channels(x: Column, stats: Column, weights: Sequence[float], biases: Sequence[float]) -> Column:
+    """A ``[steps][channels]`` sample with each channel normalised and scaled by its own weight and bias."""
+    w, b = (F.array(*[F.lit(float(v)) for v in values]) for values in (weights, biases))
+    return F.transform(x, lambda row: F.transform(row, lambda v, j: (v - stats[j]["centre"]) / stats[j]["scale"] * w[j] + b[j]))
+
+
+def denormalize_channels(x: Column, stats: Column, weights: Sequence[float], biases: Sequence[float]) -> Column:
+    w, b = (F.array(*[F.lit(float(v)) for v in values]) for values in (weights, biases))
+    return F.transform(x, lambda row: F.transform(row, lambda v, j: (v - b[j]) / (w[j] + EPS * EPS) * stats[j]["scale"] + stats[j]["centre"]))
