@@ -15,18 +15,25 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def _packed(turns: DataFrame, side: str) -> DataFrame:
-    """One row per pair: its turns in order as (role, text, rendered, end), end being the rendered length so far."""
-    clean = turns.select(
-        "pair_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
+def _packed(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row per pair: the turns of each side in order as (turn, role, text, end, rendered, size).
+
+    ``end`` is the rendered length so far, the chosen turns first. Both sides share one shuffle by pair_id.
+    """
+    names = ("pair_id", "turn", "role", "text")
+    clean = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names[2:]]
+    turns = [df.select(*names[:2], *clean, F.lit(side).alias("side")) for side, df in enumerate((chosen, rejected))]
+    both = turns[0].unionByName(turns[1])
     rendered = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(CLOSE), escaped(F.col("text")), F.lit(END + "\n"))
-    order = ["turn", "role", "text"]
-    so_far = Window.partitionBy("pair_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    clean = clean.withColumn("rendered", rendered)
-    clean = clean.withColumn("size", F.char_length("rendered").cast("long")).withColumn("end", F.sum("size").over(so_far))
+    so_far = Window.partitionBy("pair_id").orderBy("side", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("rendered", rendered).withColumn("size", F.char_length("rendered").cast("long"))
     row = F.struct("turn", "role", "text", "end", "rendered", "size")
-    return clean.groupBy("pair_id").agg(F.sort_array(F.collect_list(row)).alias(side))
+
+    def side(k: int) -> Column:
+        turns = F.sort_array(F.collect_list(F.when(F.col("side") == k, row)))
+        return F.when(F.size(turns) > 0, turns)
+
+    return both.withColumn("end", F.sum("size").over(so_far)).groupBy("pair_id").agg(side(0).alias("a"), side(1).alias("b"))
 
 
 def _rest(turns: Column, common: Column) -> Column:
@@ -60,14 +67,17 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     Work is by pair_id only: one shuffle a side, none by role or text, so a common opening or a conversation that is
     copied many times puts no extra rows into a task. A pair is one output row, so its turns meet in one task.
     """
-    a, b = _packed(chosen, "a"), _packed(rejected, "b").withColumnRenamed("pair_id", "_id")
-    rows = a.join(b, F.col("pair_id").eqNullSafe(F.col("_id")), "full").select(F.coalesce("pair_id", "_id").alias("pair_id"), "a", "b")
+    rows = _packed(chosen, rejected)
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first = F.array_position(same, F.lit(False))
     common = F.when(F.col("a").isNull() | F.col("b").isNull(), 0).when(first > 0, first - 1).otherwise(F.size("a"))
     rows = rows.withColumn("n", common.cast("int"))
     rows = rows.withColumn("ra", _rest(F.col("a"), F.col("n"))).withColumn("rb", _rest(F.col("b"), F.col("n")))
-    before = F.when(F.col("n") > 0, F.get("a", F.col("n") - 1)["end"]).otherwise(F.lit(0).cast("long"))
+
+    def before(side: str) -> Column:
+        """Where the completion of a side begins."""
+        return F.when(F.col("n") > 0, F.get(side, F.col("n") - 1)["end"]).otherwise(F.get(side, F.lit(0))["end"] - F.get(side, F.lit(0))["size"])
+
     status = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), "unpaired")
         .when((F.size("ra") == 0) & (F.size("rb") == 0), "same")
@@ -78,7 +88,7 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.select(
         "pair_id", status.alias("status"), F.col("n").cast("long").alias("n_common"), prompt.alias("prompt"),
         _text(F.col("ra")).alias("chosen"), _text(F.col("rb")).alias("rejected"),
-        _spans(F.col("ra"), before).alias("chosen_spans"), _spans(F.col("rb"), before).alias("rejected_spans"),
+        _spans(F.col("ra"), before("a")).alias("chosen_spans"), _spans(F.col("rb"), before("b")).alias("rejected_spans"),
     )
 
 
