@@ -171,21 +171,30 @@ def patch_config(spark, sf):
 )
 def instance_norm(spark, sf):
     """Both normalisations of every sample of every user, and the way back, as position-weighted sums per channel."""
-    x = F.col("x")
-    stats = _wide_samples(spark, sf).select(
-        "series", "ts", "x", arrays.channel_stats(x, 2).alias("mean"), arrays.channel_stats(x, 2, subtract_last=True).alias("last")
+    # The statistics pass through the generator; plain projections would be copied into the lambdas that use them.
+    each = F.array(
+        *[
+            F.struct(
+                seq.alias("seq"),
+                arrays.instance_stats(seq).alias("mean"),
+                arrays.instance_stats(seq, subtract_last=True).alias("last"),
+                F.lit(w).alias("w"),
+                F.lit(b).alias("b"),
+            )
+            for seq, w, b in ((arrays.channel(F.col("x"), j), _WEIGHTS[j], _BIASES[j]) for j in (0, 1))
+        ]
     )
-    normed = stats.select(
+    rows = _wide_samples(spark, sf).select("series", "ts", F.posexplode(each).alias("channel", "v")).select("series", "ts", "channel", "v.*")
+    seq, w, b = F.col("seq"), F.col("w"), F.col("b")
+    by_mean = arrays.normalize(seq, F.col("mean"), w, b)
+    return rows.select(
         "series",
         "ts",
-        "mean",
-        arrays.normalize_channels(x, F.col("mean"), _WEIGHTS, _BIASES).alias("m"),
-        arrays.normalize_channels(x, F.col("last"), _WEIGHTS, _BIASES).alias("l"),
+        "channel",
+        r(_weighted_sum(by_mean), 4).alias("by_mean"),
+        r(_weighted_sum(arrays.normalize(seq, F.col("last"), w, b)), 4).alias("by_last"),
+        r(_weighted_sum(arrays.denormalize(by_mean, F.col("mean"), w, b)), 4).alias("restored"),
     )
-    back = normed.select("*", arrays.denormalize_channels(F.col("m"), F.col("mean"), _WEIGHTS, _BIASES).alias("d"))
-    sums = [F.struct(*[_weighted_sum(arrays.channel(F.col(c), j)).alias(c) for c in ("m", "l", "d")]) for j in (0, 1)]
-    rows = back.select("series", "ts", F.posexplode(F.array(*sums)).alias("channel", "v"))
-    return rows.select("series", "ts", "channel", r("v.m", 4).alias("by_mean"), r("v.l", 4).alias("by_last"), r("v.d", 4).alias("restored"))
 
 
 # ---- scalers -----------------------------------------------------------------------------------

@@ -42,16 +42,20 @@ def instance_stats(seq: Column, subtract_last: bool = False) -> Column:
     """``struct(centre, scale)`` of one sequence; the deviation is the population one."""
     n = F.size(seq)
     mean = F.aggregate(seq, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(seq, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    centre = F.element_at(seq, -1) if subtract_last else mean
-    return F.struct(centre.alias("centre"), F.sqrt(var + EPS).alias("scale"))
 
+    def stats(m: Column) -> Column:
+        var = F.aggregate(seq, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n
+        return F.struct((F.element_at(seq, -1) if subtract_last else m).alias("centre"), F.sqrt(var + EPS).alias("scale"))
 
-def normalize(seq: Column, stats: Column, weight: float = 1.0, bias: float = 0.0) -> Column:
+    # As a lambda variable the mean is computed once, not anew for every step.
+    return F.transform(F.array(mean), stats)[0]
+
+
+def normalize(seq: Column, stats: Column, weight: float | Column = 1.0, bias: float | Column = 0.0) -> Column:
     return F.transform(seq, lambda v: (v - stats["centre"]) / stats["scale"] * weight + bias)
 
 
-def denormalize(seq: Column, stats: Column, weight: float = 1.0, bias: float = 0.0) -> Column:
+def denormalize(seq: Column, stats: Column, weight: float | Column = 1.0, bias: float | Column = 0.0) -> Column:
     return F.transform(
         seq, lambda v: (v - bias) / (weight + EPS * EPS) * stats["scale"] + stats["centre"]
     )
