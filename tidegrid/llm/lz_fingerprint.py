@@ -120,7 +120,8 @@ def neighbour_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     they only decide how even the tasks are, not which rows are neighbours.
     """
     spark = docs.sparkSession
-    n = max(1, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, ranges or 4 * tasks)  # a few ranges a task, as they are dealt by hash
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     quantiles = F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)
     cuts = sorted(set(rows.agg(quantiles).first()[0] or []))
@@ -135,7 +136,7 @@ def neighbour_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     place = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     heads = heads.select("doc_id", "text", F.element_at(place, F.col("range")).alias("range"), F.lit(True).alias("border"))
     spread = rows.withColumn("border", F.lit(False)).unionByName(heads).withColumn("key", F.col("range"))
-    parts = spread.repartition(n, "range").sortWithinPartitions("range", "border", F.desc_nulls_last("doc_id"), "text")
+    parts = spread.repartition(tasks, "range").sortWithinPartitions("range", "border", F.desc_nulls_last("doc_id"), "text")
     return parts.mapInPandas(_chain, SCHEMA % dict(docs.dtypes)["doc_id"])
 
 
