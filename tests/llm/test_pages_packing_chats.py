@@ -12,7 +12,7 @@ from check_sql import TABLES, compare
 from tests.llm.helpers import DOCS, prose
 from tidegrid.llm.html_blocks import blocks_of, extract_pages, main_text
 from tidegrid.llm.packing import Bins, pack_documents
-from tidegrid.llm.preferences import preference_rows, swapped_replies
+from tidegrid.llm.preferences import every_turn, preference_rows, swapped_replies
 
 SF = "/root/testdata/sf0.001"
 LONG = "This is the text of the article and it is as long as a paragraph of an article has to be, with all of the words that are in it."
@@ -154,3 +154,21 @@ def test_swapped_replies(spark):
     chosen, rejected = swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert sorted(map(tuple, chosen.collect())) == [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "assistant", "d"), (3, 0, "assistant", "f")]
     assert sorted(map(tuple, rejected.collect())) == [(0, 0, "user", "a"), (0, 1, "assistant", "d"), (1, 0, "assistant", "b")]
+
+
+def test_every_conversation_and_turn_comes_back(spark):
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (0, None, "user", "z"), (1, 0, "assistant", "d"), (1, 1, "user", "d2")]
+    rows += [(2, 0, "user", "e"), (2, 1, "user", "e2"), (3, 0, "assistant", "f"), (4, None, "assistant", "n"), (5, 0, "assistant", "h")]
+    rows += [(None, 0, "assistant", "g"), (None, 1, "user", "g2"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, TURNS.replace("pair_id", "conv_id"))
+    chosen, rejected, after = every_turn(turns)
+    assert sorted(map(str, chosen.unionByName(after).collect())) == sorted(map(str, turns.withColumnRenamed("conv_id", "pair_id").collect()))
+    got = {r.pair_id: r for r in preference_rows(chosen, rejected, after).collect()}
+    assert {i: (r.status, r.n_common, r.n_after) for i, r in got.items()} == {
+        0: ("pair", 1, 2), 1: ("pair", 0, 1), 2: ("unpaired", 0, 0), 3: ("unpaired", 0, 0), 4: ("unpaired", 0, 1), 5: ("unpaired", 0, 0), None: ("unpaired", 0, 2),
+    }
+    assert got[2].chosen == "<|user|>\ne<|end|>\n<|user|>\ne2<|end|>\n" and got[2].chosen_spans == [] and got[2].rejected is None
+    assert got[0].rejected == "<|assistant|>\nd<|end|>\n" and got[0].after == "<|user|>\nc<|end|>\n<|user|>\nz<|end|>\n"
+    assert got[4].chosen is None and got[4].after == "<|assistant|>\nn<|end|>\n" and got[None].after == "<|user|>\ng2<|end|>\n<||>\n<|end|>\n"
+    assert sum((r.prompt + (r.chosen or "") + r.after).count("<|end|>") for r in got.values()) == len(rows)
+    assert preference_rows(*every_turn(turns.filter("false"))).count() == 0

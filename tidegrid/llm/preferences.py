@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,15 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def _packed(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row per pair: the turns of each side in order as (turn, role, text, end, rendered, size).
+def _packed(*sides: DataFrame) -> DataFrame:
+    """One row per pair: the turns of each side in order as (turn, role, text, end, rendered, size), in columns a, b, c.
 
-    ``end`` is the rendered length so far, the chosen turns first. Both sides share one shuffle by pair_id.
+    ``end`` is the rendered length so far, the chosen turns first. All sides share one shuffle by pair_id.
     """
     names = ("pair_id", "turn", "role", "text")
     clean = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names[2:]]
-    turns = [df.select(*names[:2], *clean, F.lit(side).alias("side")) for side, df in enumerate((chosen, rejected))]
-    both = turns[0].unionByName(turns[1])
+    turns = [df.select(*names[:2], *clean, F.lit(side).alias("side")) for side, df in enumerate(sides)]
+    both = reduce(DataFrame.unionByName, turns)
     rendered = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(CLOSE), escaped(F.col("text")), F.lit(END + "\n"))
     so_far = Window.partitionBy("pair_id").orderBy("side", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("rendered", rendered).withColumn("size", F.char_length("rendered").cast("long"))
@@ -33,7 +35,7 @@ def _packed(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         turns = F.sort_array(F.collect_list(F.when(F.col("side") == k, row)))
         return F.when(F.size(turns) > 0, turns)
 
-    return both.withColumn("end", F.sum("size").over(so_far)).groupBy("pair_id").agg(side(0).alias("a"), side(1).alias("b"))
+    return both.withColumn("end", F.sum("size").over(so_far)).groupBy("pair_id").agg(*[side(k).alias("abc"[k]) for k in range(len(sides))])
 
 
 def _rest(turns: Column, common: Column) -> Column:
@@ -54,7 +56,7 @@ def _spans(rest: Column, before: Column) -> Column:
     )
 
 
-def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+def preference_rows(chosen: DataFrame, rejected: DataFrame, after: DataFrame | None = None) -> DataFrame:
     """Prompt and completions of every pair_id of two turn tables (pair_id, turn, role, text).
 
     Returns pair_id, status, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans. The longest common prefix
@@ -64,10 +66,13 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     prompt is empty). Turns are ordered by number, equal numbers by role and text; NULL roles and texts count as empty;
     a NULL pair_id is a pair of its own.
 
+    With ``after``, a third table of turns that belong to no completion, two more columns: n_after and after, those turns
+    counted and rendered (turns without a number last). A pair_id that is only there has neither side.
+
     Work is by pair_id only: one shuffle a side, none by role or text, so a common opening or a conversation that is
     copied many times puts no extra rows into a task. A pair is one output row, so its turns meet in one task.
     """
-    rows = _packed(chosen, rejected)
+    rows = _packed(chosen, rejected) if after is None else _packed(chosen, rejected, after)
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first = F.array_position(same, F.lit(False))
     common = F.when(F.col("a").isNull() | F.col("b").isNull(), 0).when(first > 0, first - 1).otherwise(F.size("a"))
@@ -85,10 +90,15 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         .otherwise("pair")
     )
     prompt = F.when(F.col("n") > 0, _text(F.slice("a", F.lit(1), F.col("n")))).otherwise(F.lit(""))
+    more = []
+    if after is not None:
+        rest = F.coalesce("c", F.array().cast(rows.schema["c"].dataType))
+        numbered, unnumbered = F.filter(rest, lambda t: t["turn"].isNotNull()), F.filter(rest, lambda t: t["turn"].isNull())
+        more = [F.size(rest).cast("long").alias("n_after"), _text(F.concat(numbered, unnumbered)).alias("after")]
     return rows.select(
         "pair_id", status.alias("status"), F.col("n").cast("long").alias("n_common"), prompt.alias("prompt"),
         _text(F.col("ra")).alias("chosen"), _text(F.col("rb")).alias("rejected"),
-        _spans(F.col("ra"), before("a")).alias("chosen_spans"), _spans(F.col("rb"), before("b")).alias("rejected_spans"),
+        _spans(F.col("ra"), before("a")).alias("chosen_spans"), _spans(F.col("rb"), before("b")).alias("rejected_spans"), *more,
     )
 
 
@@ -108,3 +118,26 @@ def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     swap = (F.col("turn") == F.col("at")) & (F.col("role") == TRAINED)
     rejected = rows.filter("has").select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(swap, F.col("reply")).otherwise(F.col("text")).alias("text"))
     return chosen, rejected
+
+
+def every_turn(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``swapped_replies`` without a dropped row: chosen, rejected and the turns after, for ``preference_rows``.
+
+    Every row of ``turns`` is in exactly one of chosen and after. A conversation's reply is its last numbered assistant
+    turn. Chosen is each conversation up to its reply, or all its numbered turns if it has none; after is the rest: turns
+    behind the reply and turns without a number. Rejected is chosen with the neighbour's reply, for conversations that
+    have a reply and a neighbour with one; the others are unpaired. Turns with a NULL conv_id are one conversation, which
+    has no neighbour.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text")
+    replies = rows.filter((F.col("role") == TRAINED) & F.col("turn").isNotNull())
+    replies = replies.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = replies.filter("conv_id IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("reply"))
+    known = replies.join(other.withColumn("has", F.lit(True)), "conv_id", "left")
+    known = known.select(F.col("conv_id").alias("_id"), F.col("last.turn").alias("at"), "reply", "has")
+    rows = rows.join(known, F.col("conv_id").eqNullSafe(F.col("_id")), "left").withColumnRenamed("conv_id", "pair_id")
+    inside = F.col("turn").isNotNull() & (F.col("at").isNull() | (F.col("turn") <= F.col("at")))
+    names = ("pair_id", "turn", "role", "text")
+    swap = (F.col("turn") == F.col("at")) & (F.col("role") == TRAINED)
+    rejected = rows.filter(inside & F.col("has")).select(*names[:3], F.when(swap, F.col("reply")).otherwise(F.col("text")).alias("text"))
+    return rows.filter(inside).select(*names), rejected, rows.filter(~inside).select(*names)

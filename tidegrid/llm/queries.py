@@ -13,7 +13,7 @@ from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.lz_fingerprint import neighbour_likeness
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
-from tidegrid.llm.preferences import preference_rows, swapped_replies
+from tidegrid.llm.preferences import every_turn, preference_rows, swapped_replies
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from tidegrid.llm.url_reputation import TWO_LABEL_SUFFIXES, host_of, judge_urls, path_of
 
@@ -196,12 +196,63 @@ FROM placed GROUP BY conv_id
 @query("op4_preference_format", PREFERENCES_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's last reply, as prompt and masked completions."""
-    rows = preference_rows(*swapped_replies(table(spark, sf_dir, "conversations")))
+    return _shown(preference_rows(*swapped_replies(table(spark, sf_dir, "conversations"))))
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    """The pairs of ``conversations`` with spans as text."""
 
     def shown(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     return rows.select(
         F.col("pair_id").alias("conv_id"), "status", "n_common", "prompt", "chosen", "rejected",
-        shown("chosen_spans").alias("chosen_spans"), shown("rejected_spans").alias("rejected_spans"),
+        shown("chosen_spans").alias("chosen_spans"), shown("rejected_spans").alias("rejected_spans"), *more,
     )
+
+
+# The rule of every_turn: each conversation, NULL too, comes back, and each turn is in chosen or in after.
+EVERY_TURN_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), last AS (
+  SELECT conv_id, max(turn) AS at FROM t WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id
+), reply AS (
+  SELECT t.conv_id, max(t.text) AS text FROM t JOIN last ON t.conv_id = last.conv_id AND t.turn = last.at WHERE t.role = 'assistant' GROUP BY t.conv_id
+), sided AS (
+  SELECT t.*, t.turn IS NOT NULL AND (last.at IS NULL OR t.turn <= last.at) AS inside,
+         last.at IS NOT NULL AND reply.conv_id IS NOT NULL AS has,
+         CASE WHEN t.turn = last.at AND t.role = 'assistant' THEN reply.text ELSE t.text END AS other
+  FROM t LEFT JOIN last ON t.conv_id IS NOT DISTINCT FROM last.conv_id
+  LEFT JOIN reply ON reply.conv_id = xor(t.conv_id, 1)
+), rendered AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS a,
+         '<|' || role || '|>' || chr(10) || regexp_replace(other, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS b
+  FROM sided
+), marked AS (
+  SELECT *, min(CASE WHEN inside AND text <> other THEN turn END) OVER (PARTITION BY conv_id) AS differs FROM rendered
+), placed AS (
+  SELECT *, inside AND NOT common AS tail,
+         coalesce(sum(length(a)) FILTER (inside AND NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS ea,
+         coalesce(sum(length(b)) FILTER (inside AND NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS eb
+  FROM (SELECT *, inside AND has AND (differs IS NULL OR turn < differs) AS common FROM marked)
+)
+SELECT conv_id, CASE WHEN NOT bool_or(inside AND has) THEN 'unpaired' WHEN bool_or(tail) THEN 'pair' ELSE 'same' END AS status,
+       count(*) FILTER (common) AS n_common,
+       coalesce(string_agg(a, '' ORDER BY turn) FILTER (common), '') AS prompt,
+       CASE WHEN bool_or(inside) THEN coalesce(string_agg(a, '' ORDER BY turn) FILTER (tail), '') END AS chosen,
+       CASE WHEN bool_or(inside AND has) THEN coalesce(string_agg(b, '' ORDER BY turn) FILTER (tail), '') END AS rejected,
+       CASE WHEN bool_or(inside) THEN coalesce(string_agg((ea - length(a) + 14) || '-' || (ea - 1), ',' ORDER BY turn)
+         FILTER (tail AND role = 'assistant'), '') END AS chosen_spans,
+       CASE WHEN bool_or(inside AND has) THEN coalesce(string_agg((eb - length(b) + 14) || '-' || (eb - 1), ',' ORDER BY turn)
+         FILTER (tail AND role = 'assistant'), '') END AS rejected_spans,
+       count(*) FILTER (NOT inside) AS n_after,
+       coalesce(string_agg(a, '' ORDER BY turn NULLS LAST, role, text) FILTER (NOT inside), '') AS after
+FROM placed GROUP BY conv_id
+"""
+
+
+@query("op4_preference_all", EVERY_TURN_SQL)
+def op4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every conversation and every turn: ``op4_preference_format`` has the fixed SQL, which drops some."""
+    return _shown(preference_rows(*every_turn(table(spark, sf_dir, "conversations"))), "n_after", "after")
