@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import Scratch, fold, table
 from tidegrid.llm.decontaminate import find_leaks, without_leaks
 from tidegrid.llm.line_runs import drop_repeated_lines
-from tidegrid.llm.ngram_join import near_components
+from tidegrid.llm.ngram_join import without_near_copies
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -41,10 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
-    groups = near_components(docs, n=5, num=80, den=100, scratch=_scratch(spark, "near-duplicates"))
-    drop = groups.filter("doc_id != component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles, one row stays: the least by doc_id, hash of
+    the text, other columns. Repeated rows are one document; texts that share a doc_id are judged each by its own."""
+    return without_near_copies(docs, n=5, num=80, den=100, scratch=_scratch(spark, "near-duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,18 @@ def test_pipeline_against_brute_force(spark, corpus, tmp_path):
     assert {(r.doc_id, r.piece, r.n_words) for r in whole} == {(r.doc_id, r.piece, r.n_words) for r in packed}
 
 
+def test_near_duplicates_judges_rows_not_ids(spark):
+    text = prose(random.Random(3), 50)
+    rows = [(7, text, "en", "a", 0), (7, text, "en", "b", 0), (7, "other words of this", "en", "s", 0), (3, text + " x", "en", "s", 0), (None, text, "en", "s", 0)]
+    rows += [(9, "a row that is there three times", "en", s, 0) for s in ("c", "b", "b")] + [(8, None, "en", "s", 0), (8, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [rows[2], rows[3], rows[4], rows[6], *rows[8:]]
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    only = docs.filter("doc_id = 7 AND text != 'other words of this'")
+    assert [tuple(r) for r in corpus_pipeline.near_duplicates(spark, only, "").collect()] == rows[:1]
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -205,9 +205,38 @@ def near_components(
        the others are then held against every other part, again in pieces of bounded size.
     3. Links are joined to components; only links that connect something are ever written.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "ngram-join")
-    hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    rows = _rooted(docs, n, num, den, members, tokens, scratch or Scratch(docs.sparkSession, "ngram-join"))
+    low = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low"))
+    return rows.join(low, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def without_near_copies(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, members: int = MEMBERS, tokens: int = TOKENS, scratch: Scratch | None = None
+) -> DataFrame:
+    """The rows of ``docs``, exactly one of each component of ``near_components``: the least by doc_id, hash of the text, row.
+
+    Rows, not ids, are judged: of repeated rows one stays, and a text isn't dropped for another text with its id. Rows
+    without a doc_id and texts without words all stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
+    rows = _rooted(docs, n, num, den, members, tokens, scratch).filter("root IS NOT NULL AND doc_id IS NOT NULL")
+    key = F.struct("doc_id", "text_key")
+    first = rows.groupBy("root").agg(F.min(key).alias("first"))
+    marked = scratch.keep(rows.join(first, "root").select("doc_id", "text_key", (key == F.col("first")).alias("stays")), "marked")
+    drop = marked.filter("NOT stays").select("doc_id", "text_key")
+    repeated = marked.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    if repeated.isEmpty():
+        return keyed.join(drop, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+    once = keyed.join(drop.unionByName(repeated), ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+    again = keyed.join(repeated, ["doc_id", "text_key"], "left_semi")
+    again = again.groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(again)
+
+
+def _rooted(docs: DataFrame, n: int, num: int, den: int, members: int, tokens: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root) per row: the hash of its text and the name of its component (NULL without words)."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(num, den)
@@ -219,14 +248,14 @@ def near_components(
                 sigs.append(signatures.of(grams) if len(grams) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), lists], ["doc_id", "n", "cls", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), lists], ["doc_id", "text_key", "n", "cls", "sigs"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    base = scratch.keep(hashed.mapInArrow(classes, f"doc_id {kind}, n long, cls long, sigs array<long>"), "sets")
+    base = scratch.keep(hashed.mapInArrow(classes, f"doc_id {kind}, text_key long, n long, cls long, sigs array<long>"), "sets")
     sig = base.select("cls", F.explode("sigs").alias("sig")).repartition("sig")  # moved once, for the aggregate and the join
     shared = sig.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).filter("hub < top").select("sig", "hub")
     groups = scratch.keep(sig.join(shared, "sig").select("hub", "cls").distinct(), "groups")
-    thin = scratch.keep(base.select("doc_id", "n", "cls"), "classes")
+    thin = scratch.keep(base.select("doc_id", "text_key", "n", "cls"), "classes")
     scratch.drop(base)
     base = thin
     one = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
@@ -259,10 +288,8 @@ def near_components(
         more = more.unionByName(targets.select("hub", F.col("cell").alias("block"), "cls", "doc_id", yes.alias("stored"), no.alias("probing"), "comp"))
         edges = scratch.keep(edges.unionByName(_joined(docs, more, n, num, den)), "links")
         roots = components(edges, scratch)
-    rows = base.select("doc_id", "n", "cls").join(roots, F.col("cls") == F.col("node"), "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
-    low = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low"))
-    return rows.join(low, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    rows = base.join(roots, F.col("cls") == F.col("node"), "left")
+    return rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
 
 
 def _class(grams: np.ndarray) -> int:
