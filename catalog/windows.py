@@ -24,6 +24,7 @@ from catalog.base import (
 from catalog.features import ROUND_IN_BASE, baseline_sql
 from tidegrid.functions import arrays
 from tidegrid.operators.clean import fill_interpolate
+from tidegrid.operators.features import BASELINE_FEATURES
 from tidegrid.operators.profile import sampling_frequency
 from tidegrid.operators.samples import sliding_windows
 from tidegrid.operators.scale import fit_scaler
@@ -253,3 +254,31 @@ def preprocess_(spark, sf):
     out = prepared(spark, sf).data.drop(*STATIONS)
     plain = ("LOAD", "lag_1", "lag_24", "lag_168", "temp", "temp_lag_24", "temp_min", "temp_max")
     return rounded(out, *ROUND_IN_BASE, *plain)
+
+
+_CHANNELS = ("LOAD", *BASELINE_FEATURES)
+
+
+@query(
+    "sliding_windows_all",
+    f"""WITH {PREPARED_SQL}, w AS (SELECT series, split, ts, {", ".join(f"list(CAST({c} AS DOUBLE)) OVER o AS {c}" for c in _CHANNELS)}
+        FROM prepared WINDOW o AS (PARTITION BY series, split ORDER BY ts ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING))
+        SELECT series, split, ts, 24 AS steps, {len(_CHANNELS)} AS channels,
+        {", ".join(f"{R(f'list_sum([{c}[i] * i for i in range(1, 25)])', 4)} AS {c}_sum" for c in _CHANNELS)},
+        {R('LOAD[25]')} AS y1, {R('LOAD[26]')} AS y2 FROM w WHERE len(LOAD) = 26""",
+)
+def sliding_windows_all(spark, sf):
+    """Samples of the prepared table, with the target and all of its features as channels, as ``sliding_windows`` condenses them."""
+    p = prepared(spark, sf)
+    data = rounded(p.data, *ROUND_IN_BASE)
+    samples = sliding_windows(data, p.series.with_keys("split"), p.features, p.target, seq_len=24, pred_len=2)
+    return samples.select(
+        "series",
+        "split",
+        "ts",
+        F.size("x").alias("steps"),
+        F.size(F.col("x")[0]).alias("channels"),
+        *[r(_weighted_sum(arrays.channel(F.col("x"), j)), 4).alias(f"{c}_sum") for j, c in enumerate((p.target, *p.features))],
+        r(F.col("y")[0]).alias("y1"),
+        r(F.col("y")[1]).alias("y2"),
+    )

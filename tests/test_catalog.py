@@ -9,6 +9,7 @@ import pytest
 
 import catalog
 from check_sql import TABLES, compare
+from tidegrid.operators.features import BASELINE_FEATURES
 
 SF = "/root/testdata/sf0.001"
 FAST = (
@@ -36,3 +37,11 @@ def test_every_oracle_has_a_query():
 def test_query_equals_sql(spark, con, name):
     ok, text = compare(spark, con, name, SF)
     assert ok, text
+
+
+def test_windows_hold_every_prepared_feature(spark, con):
+    ok, text = compare(spark, con, "sliding_windows_all", SF)
+    assert ok, text
+    got = catalog.QUERIES["sliding_windows_all"](spark, SF)
+    assert {f"{c}_sum" for c in ("LOAD", *BASELINE_FEATURES)} <= set(got.columns) and len(BASELINE_FEATURES) == 17
+    assert got.select("steps", "channels").distinct().collect() == [(24, 18)]
