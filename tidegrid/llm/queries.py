@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import LOWER, ORACLE, QUERIES, UPPER, fold, query, table  # noqa: F401
 from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.html_blocks import extract_pages
+from tidegrid.llm.importance import importance_resample
 from tidegrid.llm.language_id import fit_language_model, identify
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.lz_fingerprint import neighbour_likeness
@@ -256,3 +257,50 @@ FROM placed GROUP BY conv_id
 def op4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for every conversation and every turn: ``op4_preference_format`` has the fixed SQL, which drops some."""
     return _shown(preference_rows(*every_turn(table(spark, sf_dir, "conversations"))), "n_after", "after")
+
+
+# crc32 of a text: the table of all bytes by rule, and one table step per byte.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS p"""
+
+
+def _crc_sql(text: str) -> str:
+    bytes_ = f"list_transform(range(length(hex({text})) // 2), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(c // 256, p[xor(c % 256, b) + 1])), 4294967295)"
+
+
+IMPORTANCE_SQL = rf"""
+WITH crc AS ({_CRC_TABLE}), texts AS (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark
+), worded AS (
+  SELECT side, id, row, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), featured AS (
+  SELECT side, id, row, len(w) AS words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded
+), named AS (
+  SELECT f, {_crc_sql('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM featured), crc
+), placed AS (
+  SELECT featured.*, bucket FROM featured JOIN named USING (f)
+), gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (coalesce(sum(s) OVER (), 0)::DOUBLE + 10000)
+           / ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce(sum(t) OVER (), 0)::DOUBLE + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) b(bucket)
+  LEFT JOIN (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM placed GROUP BY bucket) c USING (bucket)
+), weighed AS (
+  SELECT row, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY row
+), scored AS (
+  SELECT id AS doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weighed USING (row) WHERE side = 0
+), ranked AS (
+  SELECT *, CASE WHEN able THEN row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (able) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op11_importance_resampling", IMPORTANCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by their likeness to the benchmark; every document with its weight."""
+    out = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
