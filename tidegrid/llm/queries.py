@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import LOWER, ORACLE, QUERIES, UPPER, fold, query, table  # noqa: F401
@@ -15,6 +15,10 @@ from tidegrid.llm.lz_fingerprint import neighbour_likeness
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.preferences import every_turn, preference_rows, swapped_replies
+from tidegrid.llm import secrets
+from tidegrid.llm.secrets import KINDS as SECRET_KINDS
+from tidegrid.llm.secrets import PATTERNS as SECRET_PATTERNS
+from tidegrid.llm.secrets import REACH, scan_secrets
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 from tidegrid.llm.url_reputation import TWO_LABEL_SUFFIXES, host_of, judge_urls, path_of
 
@@ -304,3 +308,94 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn by their likeness to the benchmark; every document with its weight."""
     out = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _secret_matches_sql(kind: str) -> str:
+    """All matches of one pattern, with the running end of each."""
+    p = SECRET_PATTERNS[kind].replace("'", "''")
+    value = f", regexp_extract_all(text, '{p}', {2 if kind == 'assign' else 0}) AS v"
+    n = "length(value)"
+    as_kind = {
+        "assign": f"CASE WHEN {n} >= {secrets.ASSIGN_LEAST} THEN 'assign' WHEN {n} >= {secrets.PASS_LEAST} THEN 'pass' END",
+        "access": f"CASE WHEN {n} >= {secrets.ACCESS_LEAST} THEN 'access' WHEN {n} >= {secrets.IDENT_LEAST} THEN 'ident' END",
+        "key": "CASE WHEN regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]') THEN 'key' END",
+    }.get(kind, f"'{kind}'")
+    return f"""SELECT row, {as_kind} AS kind, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY row ORDER BY i) AS BIGINT) AS stop, length(x) AS n FROM (
+    SELECT row, unnest(range(len(w))) AS i, unnest(w) AS x, unnest(v) AS value, unnest(string_split_regex(text, '{p}')[1:len(w)]) AS gap
+    FROM (SELECT row, text, regexp_extract_all(text, '{p}') AS w{value} FROM texts))"""
+
+
+def _any_sql(kinds: tuple[str, ...]) -> str:
+    return "kind IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+
+
+def _covered_sql(kinds: tuple[str, ...]) -> str:
+    k = _any_sql(kinds)
+    return f"(coalesce(max(stop) FILTER ({k}) OVER ahead > start, false) OR coalesce(min(start) FILTER ({k}) OVER behind < stop, false))"
+
+
+def _nearest_sql(name: str) -> str:
+    """The nearer one of the last part before and the first part behind, where that is near enough."""
+    left, right = f"greatest(start - {name}_b.stop, 0)", f"greatest({name}_a.start - stop, 0)"
+    return f"""CASE WHEN {name}_b IS NOT NULL AND {left} <= {REACH} AND ({name}_a IS NULL OR {left} <= {right}) THEN {name}_b
+      WHEN {name}_a IS NOT NULL AND {right} <= {REACH} THEN {name}_a END AS {name}"""
+
+
+def _sides_sql(name: str, kinds: tuple[str, ...]) -> str:
+    of = f"CASE WHEN {_any_sql(kinds)} THEN {{'start': start, 'rank': rank, 'kind': kind, 'stop': stop}} END"
+    return f"last_value({of} IGNORE NULLS) OVER ahead AS {name}_b, last_value({of} IGNORE NULLS) OVER behind AS {name}_a"
+
+
+def _sweep_sql(keys: str) -> str:
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"WINDOW ahead AS (PARTITION BY {keys} ORDER BY start, rank {frame}), behind AS (PARTITION BY {keys} ORDER BY start DESC, rank DESC {frame})"
+
+
+SECRETS_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), parts AS (
+  SELECT row, kind, stop - n AS start, stop, list_position([{', '.join(f"'{k}'" for k in SECRET_KINDS)}], kind) AS rank FROM (
+    {' UNION ALL '.join(f'({_secret_matches_sql(k)})' for k in SECRET_PATTERNS)}
+  ) WHERE kind IS NOT NULL
+), marked AS (
+  SELECT *, count(*) FILTER (kind = 'break') OVER ahead AS scope, {_covered_sql(secrets.BASE)} AS in_base,
+         {_covered_sql(tuple(k for k in SECRET_KINDS if k != 'key'))} AS in_any
+  FROM parts {_sweep_sql('row')}
+), left_over AS (
+  SELECT * FROM marked WHERE kind <> 'break' AND NOT (in_base AND kind IN ('key', 'pass', 'ident')) AND NOT (in_any AND kind = 'key')
+), sided AS (
+  SELECT *, {_sides_sql('ident', ('access', 'ident'))}, {_sides_sql('endpoint', ('endpoint',))} FROM left_over {_sweep_sql('row, scope')}
+), near AS (
+  SELECT *, {_any_sql(secrets.SECRET)} AND ident IS NOT NULL AND (ident.kind = 'access' OR endpoint IS NOT NULL) AS complete
+  FROM (SELECT row, kind, start, stop, rank, {_nearest_sql('ident')}, {_nearest_sql('endpoint')} FROM sided)
+), told AS (
+  SELECT row, start, rank, kind, stop FROM near WHERE {_any_sql(secrets.BASE)} OR complete
+  UNION SELECT row, ident.start, ident.rank, ident.kind, ident.stop FROM near WHERE complete
+  UNION SELECT row, endpoint.start, endpoint.rank, endpoint.kind, endpoint.stop FROM near WHERE complete AND endpoint IS NOT NULL
+), listed AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({_any_sql(secrets.BASE)}) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM told GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(c.n, 0) AS n_credentials
+FROM texts LEFT JOIN listed USING (row) LEFT JOIN (SELECT row, count(*) AS n FROM near WHERE complete GROUP BY row) c USING (row)
+"""
+
+
+@query("op13_secret_scan", SECRETS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: single patterns and complete credentials."""
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return out.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.col("credentials").alias("n_credentials"),
+    )
