@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import LOWER, ORACLE, QUERIES, UPPER, fold, query, table  # noqa: F401
+from tidegrid.llm.conversation_repair import conversation_digests, repair_conversations
 from tidegrid.llm.decontaminate import find_leaks, leak_rows
 from tidegrid.llm.html_blocks import extract_pages
 from tidegrid.llm.importance import importance_resample
@@ -399,3 +400,101 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.col("credentials").alias("n_credentials"),
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with planted faults, by a checksum of conversation and turn; NULLs become one space."""
+    space = F.lit(" ")
+    shown = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20)
+    rows = rows.toDF("conv_id", "turn", "role", "text", "hit").filter("hit != 0")
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def _edited_sql(value: str, cost: int, edit: str, piece: str = "''") -> str:
+    """A state's [cost and audit, text] after one more edit."""
+    return f"CASE WHEN {value} IS NOT NULL THEN [lpad(CAST(CAST(substr({value}[1], 1, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({value}[1], 7) || '{edit}', {value}[2] || {piece}] END"
+
+
+def _least_sql(*values: str) -> str:
+    return f"list_min(list_filter([{', '.join(values)}], lambda v: v IS NOT NULL))"
+
+
+def _inserted_sql(name: str, source: str) -> str:
+    """Costs of all states after one insert at most."""
+    u, a = [_edited_sql(f"{source}.e", 2, "I", r"'user:' || chr(10)"), _edited_sql(f"{source}.s", 2, "I", r"'user:' || chr(10)"), _edited_sql(f"{source}.a", 2, "I", r"'user:' || chr(10)")], [
+        _edited_sql(f"{source}.u", 2, "I", r"'assistant:' || chr(10)")]
+    return f"SELECT {source}.* REPLACE ({_least_sql(f'{source}.u', *u)} AS u, {_least_sql(f'{source}.a', *a)} AS a) FROM {name} {source}"
+
+
+def _turn_sql() -> str:
+    """Costs after the next turn, from costs with the inserts before it (i) and the turn (t)."""
+    cut = "CASE WHEN t.fault = 'truncated' THEN 1 ELSE 0 END"
+    may, own = "t.fault IS DISTINCT FROM 'blank' AND t.fault IS DISTINCT FROM 'duplicate'", "t.role || ':' || t.text || chr(10)"
+
+    def gone(q):
+        return _edited_sql(f"i.{q}", 3, "D")
+
+    def kept(q, letter):
+        return f"CASE WHEN {may} AND t.letter = '{letter}' THEN {_edited_sql(f'i.{q}', cut, 'K', own)} END"
+
+    def relabelled(q, role):
+        return f"CASE WHEN {may} THEN {_edited_sql(f'i.{q}', f'2 + {cut}', 'R', f"'{role}:' || t.text || chr(10)")} END"
+
+    to_user = [x for q in "esa" for x in (kept(q, "u"), relabelled(q, "user"))]
+    return f"""SELECT i.conv_id, i.p + 1 AS p, {gone('e')} AS e, {_least_sql(gone('s'), kept('e', 's'))} AS s, {_least_sql(gone('u'), *to_user)} AS u,
+      {_least_sql(gone('a'), kept('u', 'a'), relabelled('u', 'assistant'))} AS a"""
+
+
+BLANK_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+REPAIR_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), hit AS (
+  SELECT * EXCLUDE (name, p), {_crc_sql('name')} % 20 AS hit FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p,
+         rtrim(text, {BLANK_SQL}) AS body, substr(role, 1, 1) AS letter FROM damaged
+), turns AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+         WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(letter) OVER (PARTITION BY conv_id ORDER BY p) AS letter_before FROM placed
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (letter_before IS NOT NULL AND letter_before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS p, ['000000', ''] AS e, NULL::VARCHAR[] AS s, NULL::VARCHAR[] AS u, NULL::VARCHAR[] AS a FROM facts
+  UNION ALL
+  {_turn_sql()}
+  FROM ({_inserted_sql('(' + _inserted_sql('ways', 'w') + ')', 'x')}) i JOIN turns t ON t.conv_id IS NOT DISTINCT FROM i.conv_id AND t.p = i.p + 1
+), closed AS (
+  SELECT conv_id, p, {_least_sql('e', 'a')} AS best FROM ({_inserted_sql('(' + _inserted_sql('ways', 'w') + ')', 'x')})
+), chosen AS (
+  SELECT facts.*, best FROM facts JOIN closed ON facts.conv_id IS NOT DISTINCT FROM closed.conv_id AND facts.n = closed.p
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best[1], 1, 6) AS BIGINT), 0) AS cost, coalesce(substr(best[1], 7), '') AS audit,
+       sha256(coalesce(left(best[2], length(best[2]) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN chosen ON ids.conv_id IS NOT DISTINCT FROM chosen.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and then repaired by the cheapest edits."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair_conversations(damaged(turns))
+    digests = conversation_digests(repaired, dict(turns.dtypes)["conv_id"]).withColumnRenamed("conv_id", "d_id")
+    found = report.withColumnRenamed("conv_id", "r_id")
+    out = turns.select("conv_id").distinct()
+    out = out.join(found, F.col("conv_id").eqNullSafe(F.col("r_id")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("d_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
