@@ -29,23 +29,40 @@ def test_metric_vectors(spark):
     assert flat["MAPE"] is None and flat["R2"] is None
 
 
-@pytest.mark.parametrize("accuracy", [50, 10000])
-def test_quantiles_are_exact(spark, accuracy):
-    """With a coarse sketch the bracket path is used, with a fine one the whole group."""
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(5)
+    tiny, huge = 5e-324, 1.7e308
     pdf = pd.concat(
         [
             pd.DataFrame({"g": 1, "v": rng.lognormal(0, 3, 6000)}),
             pd.DataFrame({"g": 2, "v": np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000))}),
             pd.DataFrame({"g": 3, "v": [4.0]}),
             pd.DataFrame({"g": 4, "v": rng.integers(0, 5, 29).astype(float)}),
+            pd.DataFrame({"g": 5, "v": [-huge, -tiny, -0.0, 0.0, tiny, 1.0, np.nextafter(1.0, 2.0), np.nextafter(1.0, 0.0), huge]}),
+            pd.DataFrame({"g": 6, "v": np.exp2(rng.uniform(-1000, 1000, 900)) * rng.choice([-1, 1], 900)}),
+            pd.DataFrame({"g": 7, "v": 1.0 + np.arange(400) * 2.0**-52}),
+            pd.DataFrame({"g": None, "v": [3.0, 1.0, 2.0]}),
         ]
     )
     qs = {"low": 0.05, "mid": 0.5, "high": 0.95, "first": 0.0, "last": 1.0}
-    out = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", qs, accuracy).toPandas().set_index("g")
-    for g, group in pdf.groupby("g"):
+    data = frame(spark, pdf).unionByName(spark.createDataFrame([(8.0, None), (1.0, None)], "g double, v double"))
+    out = exact_quantiles(data, ["g"], "v", qs).toPandas().set_index("g")
+    assert len(out) == 8
+    for g, group in pdf.groupby("g", dropna=False):
+        assert out.loc[g, "n"] == len(group)
         for name, q in qs.items():
-            assert out.loc[g, name] == pytest.approx(group["v"].quantile(q), rel=1e-12), (g, name)
+            ordered, h = np.sort(group["v"].to_numpy()), (len(group) - 1) * q
+            lo, hi = ordered[int(np.floor(h))], ordered[int(np.ceil(h))]
+            assert out.loc[g, name] == lo + (hi - lo) * (h - np.floor(h)), (g, name)
+
+
+def test_one_hot_group_is_counted_by_many_tasks(spark):
+    """A million distinct values of one group: no window or sort sees them, and what a task hands on is a histogram."""
+    values = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("g"), F.pmod(F.col("id") * 7919, F.lit(1_000_003)).cast("double").alias("v"))
+    out = exact_quantiles(values, ["g"], "v", {"mid": 0.5, "high": 0.999})
+    want = np.sort((np.arange(1_000_000) * 7919) % 1_000_003)
+    row = out.first()
+    assert (row["n"], row["mid"]) == (1_000_000, (want[499_999] + want[500_000]) / 2) and row["high"] == pytest.approx(np.quantile(want, 0.999), rel=1e-15)
 
 
 def test_autocorrelation_and_season(spark, hourly):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tidegrid.functions.epoch import epoch_seconds
-from tidegrid.operators.layout import POS, Series, index_rows, windowed
+from tidegrid.operators.layout import POS, Series, index_rows, join_by_series, windowed
 from tidegrid.operators.quantiles import exact_quantiles
 
 # Lags that are looked at unless told otherwise, and the least number of points (fixed).
@@ -51,7 +51,7 @@ def target_stats(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     )
     tails = exact_quantiles(df, keys, target, {"target_q05": 0.05, "target_q95": 0.95})
     cv = F.when(F.col("target_mean") != 0, F.col("target_std") / F.col("target_mean")).otherwise(0.0)
-    return moments.join(tails, list(keys)).withColumn("target_cv", F.round(cv, 4))
+    return join_by_series(moments, tails, list(keys)).withColumn("target_cv", F.round(cv, 4))
 
 
 def indexed_target(df: DataFrame, s: Series, target: str) -> DataFrame:
