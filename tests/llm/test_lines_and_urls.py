@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, dropped_lines, prose
-from tidegrid.llm.line_runs import LineRuns, drop_repeated_lines
+from tidegrid.llm import line_runs
+from tidegrid.llm.line_runs import LineRuns, batches_for, drop_repeated_lines
 from tidegrid.llm.queries import RULES
 from tidegrid.llm.url_reputation import domain_of, host_reputation, judge_urls, suffix_of
 
@@ -19,13 +20,18 @@ def test_lines_against_brute_force(spark):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, common[0]), (204, common[0] + "\n" + common[0])]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("n_dropped", F.lit("mine")).withColumn("_drop_me", F.lit(1))
-    for batches, fanout in ((1, 2), (5, 2), (7, 3)):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("n_dropped", F.lit("mine"))
+    own = dict.fromkeys(("doc", "_lines", "_drop", "drop", "lines", "row", "tag", "batch", "h1"), "mine")
+    docs = docs.withColumns({c: F.lit(v) for c, v in own.items()})
+    for batches, fanout in ((1, 2), (5, 2), (7, 3), (None, 2)):
         out = {r.doc_id: r for r in drop_repeated_lines(docs, 10, 1, batches, fanout).collect()}
         want = dropped_lines(rows, 10)
         assert {i: r.text for i, r in out.items()} == want
         assert all(out[i].n_lines == len((t or "").split("\n")) for i, t in rows)
         assert out[204].n_dropped == 2 and out[202].n_dropped == 0
+        assert all(r[c] == v for r in out.values() for c, v in own.items())
+    plain = drop_repeated_lines(docs, 10, 1, counts=False)
+    assert plain.columns == docs.columns and all(r.n_dropped == "mine" and r.text == want[r.doc_id] for r in plain.collect())
 
 
 def test_lines_repeated_rows_null_ids_and_empty_table(spark):
@@ -43,6 +49,28 @@ def test_runs_settle_lines_before_the_end(spark):
     assert {(r.h1, r.h2) for r in runs.repeated().collect()} == {(1, 1)}
 
 
+def test_settings_of_the_query_fill_levels_and_settle(spark, monkeypatch):
+    """With no more than the defaults: lines settle before the last batch, later batches leave them out, levels are compacted."""
+    made, joined = [], []
+
+    class Watched(LineRuns):
+        def add(self, batch):
+            joined.append(len(self.settled))
+            super().add(batch)
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(line_runs, "LineRuns", Watched)
+    rows = [(i, f"own {i}\nshared {i % 3}", "en", "s", 0) for i in range(200)]
+    out = drop_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.text == f"own {r.doc_id}" for r in out)
+    assert len(joined) == batches_for(200) == 5 and joined[0] == 0 and joined[-1] > 0
+    assert made[0].compactions >= 3 and sum(t.count() for t in made[0].settled) == 3
+    assert batches_for(256_000) > batches_for(51_000) > batches_for(1000)
+
+
 def test_rules_hosts_and_paths(spark):
     urls = [
         "https://Blog.Example.org/es/5?x=1", "http://example.org/en/12#t", "http://example.org/en/2", "ftp://a.com/fr/", "http://a.com/de/x", "http://a.com",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.session import shared_dir
+from tidegrid.session import scratch_path
 
 # The white space and the letters that the text rules name.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,18 +39,20 @@ def fold(doc_id: Column, parts: int) -> Column:
 class Scratch:
     """Tables an operator writes to the folder all executors share, so that a lost executor costs no lineage.
 
-    ``keep`` writes and reads back; ``drop`` removes tables that no later plan reads.
+    ``keep`` writes and reads back; ``drop`` removes tables that no later plan reads. The rest goes when the
+    ``scratch_scope`` ends in which the object was made, or stays for its results to be read.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, scratch_path(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """``parts``: columns by whose values the files are laid out."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -59,10 +61,6 @@ class Scratch:
         for df in frames:
             self.drop_path(df._scratch)
 
-    def clear(self) -> None:
-        """Remove everything; only once nothing reads these tables any more."""
-        self.drop_path(self.folder)
-
     def drop_path(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Scratch
@@ -46,23 +46,26 @@ class ToxicityModel:
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)  # P(fires | toxic), P(fires | clean)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return _sigmoid(np.hstack([*self.votes(texts), np.ones((len(texts), 1))]) @ self.weights)
-
-    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the voters (events, patterns, hit levels, densities) as 0/1, and the log of its lexicon hits."""
-        votes, hits = np.zeros((len(texts), len(self.events) + len(_PATTERNS) + len(LEVELS) + len(DENSITIES))), np.zeros((len(texts), 1))
-        for row, text in enumerate(texts):
-            counts, total = self._hits(text)
+        return np.array([self.score_text(t) for t in texts], float)
+
+    def score_text(self, text: str) -> float:
+        """A sum over the few voters that fire; no row of all votes is made."""
+        fired, hits = self.fired(text)
+        return float(_sigmoid(self.weights[fired].sum() + self.weights[-2] * hits + self.weights[-1]))
+
+    def fired(self, text: str) -> tuple[list[int], float]:
+        """The voters (events, patterns, hit levels, densities) that fire, by number, and the log of the lexicon hits."""
+        counts, total = self._hits(text)
+        if self.__dict__.get("_places") is None:
+            self._places: dict[str, list[tuple[int, int]]] = {}
             for i, (least, term) in enumerate(self.events):
-                votes[row, i] = counts[term] >= least
-            for i, (_, p) in enumerate(_PATTERNS, len(self.events)):
-                votes[row, i] = p.search(text) is not None
-            dense = [total >= 2 and 1000 * total >= d * len(text) for d in DENSITIES]
-            votes[row, len(self.events) + len(_PATTERNS) :] = [*(total >= level for level in LEVELS), *dense]
-            hits[row] = np.log1p(total)
-        return votes, hits
+                self._places.setdefault(term, []).append((least, i))
+        out, at = [i for term, n in counts.items() for least, i in self._places[term] if n >= least], len(self.events)
+        out += [i for i, (_, p) in enumerate(_PATTERNS, at) if p.search(text) is not None]
+        at += len(_PATTERNS)
+        out += [i for i, level in enumerate(LEVELS, at) if total >= level]
+        out += [i for i, d in enumerate(DENSITIES, at + len(LEVELS)) if total >= 2 and 1000 * total >= d * len(text)]
+        return out, float(np.log1p(total))
 
     def _hits(self, text: str) -> tuple[Counter, int]:
         """Occurrences of each term, and the number of words that any term matches."""
@@ -89,7 +92,7 @@ class ToxicityModel:
         return found, len(starts)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_places")}
 
 
 _PATTERNS = [(name, re.compile(p)) for name, p in PATTERNS]
@@ -111,14 +114,15 @@ def events_of(text: str) -> set[tuple[int, str]]:
     return {(1, t) for t in prefixes} | {(2, t) for t, n in prefixes.items() if n > 1}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, toxic: int = 4000, clean: int = 8000, candidates: int = 4000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, toxic: int = 4000, clean: int = 8000) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, toxic) of the rows where ``use`` (on doc_id) holds, and the texts of ``docs``.
 
-    At most about ``toxic`` and ``clean`` labelled rows are looked at (drawn by a hash of the id, equal texts once). From
-    them come the ``candidates`` most frequent events of toxic texts (a word or word prefix, seen once or twice); those
-    that are significantly more frequent there than in clean texts (three times, log-likelihood ratio over 30) become
-    lexicon voters as long as each covers toxic texts that the voters before it don't. Labels that are NULL, ids that are NULL and texts that are NULL are not learned from. Without
-    labelled rows the seed words vote with default accuracies.
+    At most about ``toxic`` and ``clean`` labelled rows are looked at (drawn by a hash of the id, equal texts once). All
+    events of their texts are counted (a word or word prefix, seen once or twice); those in five toxic texts or more that are
+    significantly more frequent there than in clean texts (three times, log-likelihood ratio over 30) become lexicon
+    voters as long as each covers three toxic texts, less two for each clean one, that the voters before it don't. Labels
+    that are NULL, ids that are NULL and texts that are NULL are not learned from. Without labelled rows the seed words
+    vote with default accuracies.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -130,51 +134,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     drawn = known.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # bounded by toxic + clean
     sample = scratch.keep(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
-
-    def count(only: set[tuple[int, str]] | None):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            for frame in frames:
-                for text in frame["text"]:
-                    seen.update(events_of(text) if only is None else events_of(text) & only)
-            if seen:
-                yield pd.DataFrame({"least": [k for k, _ in seen], "term": [t for _, t in seen], "n": list(seen.values())})
-
-        return run
-
-    def frequent(rows: DataFrame, only: set[tuple[int, str]] | None = None) -> DataFrame:
-        counted = rows.select("text").mapInPandas(count(only), "least int, term string, n long")
-        return counted.groupBy("least", "term").agg(F.sum("n").alias("n"))
-
-    best = frequent(sample.filter("toxic = 1")).filter("n >= 5").orderBy(F.desc("n"), "least", "term").limit(candidates)
-    pos = {(r.least, r.term): r.n for r in best.collect()}
-    neg = {(r.least, r.term): r.n for r in frequent(sample.filter("toxic = 0"), set(pos)).collect()}
-    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    strong = {e for e, n in pos.items() if n0 and n / n1 > 3 * neg.get(e, 0) / n0 and _g2(n, n1, neg.get(e, 0), n0) > 30}
-    strong = sorted(strong | {(1, "=" + w) for w in SEEDS})
+    strong = _strong_events(sample)
     where = {e: i for i, e in enumerate(strong)}
 
-    def present(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [sorted(where[e] for e in events_of(text) if e in where) for text in frame["text"]]
-            yield pd.DataFrame({"h": frame["h"], "toxic": frame["toxic"], "found": found})
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(where[e] for e in events_of(text.as_py()) if e in where) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    rows = sample.mapInPandas(present, "h long, toxic int, found array<int>").collect()
+    rows = sample.select("text", "toxic").mapInArrow(present, "toxic int, found array<int>").collect()  # bounded by toxic + clean
     has = np.zeros((len(rows), len(strong)), bool)
     for i, r in enumerate(rows):
         has[i, r.found] = True
     model = ToxicityModel([strong[i] for i in _lexicon(has, np.array([r.toxic for r in rows]), strong)], np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
 
-    def voted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            votes, hits = shared.value.votes(frame["text"].tolist())
-            yield pd.DataFrame({"toxic": frame["toxic"], "votes": votes.tolist(), "hits": hits[:, 0]})
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [shared.value.fired(text.as_py()) for text in batch.column("text")]
+            arrays = [batch.column("toxic"), pa.array([v for v, _ in votes], pa.list_(pa.int32())), pa.array([h for _, h in votes], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "fired", "hits"])
 
-    rows = sample.mapInPandas(voted, "toxic int, votes array<double>, hits double").collect()
-    width = len(model.events) + len(PATTERNS) + len(LEVELS) + len(DENSITIES)
-    votes = np.array([r.votes for r in rows]).reshape(len(rows), width)
+    rows = sample.select("text", "toxic").mapInArrow(voted, "toxic int, fired array<int>, hits double").collect()
+    votes = np.zeros((len(rows), len(model.events) + len(PATTERNS) + len(LEVELS) + len(DENSITIES)))
+    for i, r in enumerate(rows):
+        votes[i, r.fired] = 1
     posterior, voters = label_model(votes, np.array([r.toxic for r in rows], float))
     hits = np.array([r.hits for r in rows]).reshape(len(rows), 1)
     model.weights = _logistic(np.hstack([votes, hits, np.ones((len(rows), 1))]), posterior, len(model.events))
@@ -184,21 +168,48 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     return model
 
 
-def _g2(a: int, n1: int, b: int, n0: int) -> float:
-    """Log-likelihood ratio of a term in ``a`` of ``n1`` against ``b`` of ``n0`` texts."""
-    p = (a + b) / (n1 + n0)
+def _strong_events(sample: DataFrame, flush: int = 50_000) -> list[tuple[int, str]]:
+    """The events of ``sample`` (text, toxic) that tell toxic from clean texts, and the seed words. Counted in one pass; a
+    task hands on what it has counted whenever that is ``flush`` events."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [[k for k, _ in seen], [t for _, t in seen], [n[1] for n in seen.values()], [n[0] for n in seen.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["least", "term", "pos", "neg"])
+
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                for event in events_of(text.as_py()):
+                    seen.setdefault(event, [0, 0])[int(toxic == 1)] += 1
+                if len(seen) >= flush:
+                    yield out()
+                    seen = {}
+        yield out()
 
-    def side(k: int, n: int) -> float:
-        return sum(x * np.log(x / e) for x, e in ((k, n * p), (n - k, n * (1 - p))) if x > 0 and e > 0)
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = float(size.get(1, 0)), float(sum(n for t, n in size.items() if t != 1))
+    seeds = {(1, "=" + w) for w in SEEDS}
+    if not n1 or not n0:
+        return sorted(seeds)
+    counted = sample.select("text", "toxic").mapInArrow(count, "least int, term string, pos long, neg long")
+    counted = counted.groupBy("least", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos >= 5")
+    p = (F.col("pos") + F.col("neg")) / (n1 + n0)
+
+    def side(k: Column, n: float) -> Column:
+        return sum(F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0) for x, e in ((k, p * n), (n - k, (1 - p) * n)))
 
-    return 2 * (side(a, n1) + side(b, n0))
+    ratio = 2 * (side(F.col("pos"), n1) + side(F.col("neg"), n0))  # log-likelihood ratio against one share for both
+    found = counted.filter((F.col("pos") / n1 > 3 * F.col("neg") / n0) & (ratio > 30)).select("least", "term").collect()
+    return sorted({(r.least, r.term) for r in found} | seeds)
 
 
-def _lexicon(has: np.ndarray, gold: np.ndarray, events: list[tuple[int, str]], most: int = 256) -> list[int]:
+def _lexicon(has: np.ndarray, gold: np.ndarray, events: list[tuple[int, str]]) -> list[int]:
     """Events in order of the toxic texts that only they cover so far, less two for each clean text; then the seeds."""
     left, clean, out = gold == 1, gold == 0, []
     cost = 2.0 * has[clean].sum(0)
-    while len(out) < most:
+    while True:
         gain = has[left].sum(0) - cost
         gain[out] = -np.inf
         best = max(range(len(events)), key=lambda i: (gain[i], -len(events[i][1]), events[i]))
@@ -261,13 +272,23 @@ def _logistic(x: np.ndarray, target: np.ndarray, terms: int, penalty: float = 1.
     return w
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each whole text; NULL counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def toxicity_of(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
+    """The score (0 to 1) of each whole text; NULL counts as empty. Texts are read one by one."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score_text(t.as_py() or "") for t in texts], pa.float64())
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.fillna("").tolist()))
+    return score(text)
 
-    out = docs.drop("score", "predicted").withColumn("score", score(F.col("text")))
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each whole text, in place of columns of these names."""
+    out = docs.drop("score", "predicted").withColumn("score", toxicity_of(docs.sparkSession, model, F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    return docs.filter(toxicity_of(docs.sparkSession, model, F.col("text")) < 0.5)
