@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Scratch, words
@@ -225,18 +225,21 @@ def without_near_copies(
     marked = scratch.keep(rows.join(first, "root").select("doc_id", "text_key", (key == F.col("first")).alias("stays")), "marked")
     drop = marked.filter("NOT stays").select("doc_id", "text_key")
     repeated = marked.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))  # the caller's columns apart
     if repeated.isEmpty():
-        return keyed.join(drop, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
-    once = keyed.join(drop.unionByName(repeated), ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+        return keyed.join(drop, ["doc_id", "text_key"], "left_anti").select("row.*")
+    once = keyed.join(drop.unionByName(repeated), ["doc_id", "text_key"], "left_anti").select("row.*")
     again = keyed.join(repeated, ["doc_id", "text_key"], "left_semi")
-    again = again.groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # JSON orders rows of any types, maps too
+    again = again.groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(again)
 
 
 def _rooted(docs: DataFrame, n: int, num: int, den: int, members: int, tokens: int, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, n_shingles, root) per row: the hash of its text and the name of its component (NULL without words)."""
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _second_key(F.col("text")).alias("text_key2"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+
+    ids = ["doc_id", "text_key", "text_key2"]
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(num, den)
@@ -248,27 +251,27 @@ def _rooted(docs: DataFrame, n: int, num: int, den: int, members: int, tokens: i
                 sigs.append(signatures.of(grams) if len(grams) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), lists], ["doc_id", "text_key", "n", "cls", "sigs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), lists], [*ids, "n", "cls", "sigs"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    base = scratch.keep(hashed.mapInArrow(classes, f"doc_id {kind}, text_key long, n long, cls long, sigs array<long>"), "sets")
+    base = scratch.keep(hashed.mapInArrow(classes, f"doc_id {kind}, text_key long, text_key2 long, n long, cls long, sigs array<long>"), "sets")
     sig = base.select("cls", F.explode("sigs").alias("sig")).repartition("sig")  # moved once, for the aggregate and the join
     shared = sig.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).filter("hub < top").select("sig", "hub")
     groups = scratch.keep(sig.join(shared, "sig").select("hub", "cls").distinct(), "groups")
-    thin = scratch.keep(base.select("doc_id", "text_key", "n", "cls"), "classes")
+    thin = scratch.keep(base.select("doc_id", "text_key", "text_key2", "n", "cls"), "classes")
     scratch.drop(base)
     base = thin
-    one = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    one = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("text_key", "text_key2")).alias("text"), F.min("n").alias("n"))
     sized = groups.join(one, "cls")
     parts = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / tokens)).alias("parts"))
     sized = sized.join(parts.filter("parts > 1"), "hub", "left").fillna(1, ["parts"])  # only few groups have more than one
     placed = sized.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), "parts"))
-    placed = scratch.keep(placed.select("hub", "cls", "doc_id", "parts", "block"), "placed")
+    placed = scratch.keep(placed.select("hub", "cls", "text", "parts", "block"), "placed")
     # the hub's set goes to each part of its group
-    hubs = placed.filter("hub = cls AND parts > 1").select("hub", "cls", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    hubs = placed.filter("hub = cls AND parts > 1").select("hub", "cls", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
     yes = F.lit(True)
-    first = placed.select("hub", "block", "cls", "doc_id", yes.alias("stored"), yes.alias("probing"), F.col("cls").alias("comp"))
-    first = first.unionByName(hubs.select("hub", "block", "cls", "doc_id", yes.alias("stored"), yes.alias("probing"), F.col("cls").alias("comp"))).distinct()
+    first = placed.select("hub", "block", "cls", "text", yes.alias("stored"), yes.alias("probing"), F.col("cls").alias("comp"))
+    first = first.unionByName(hubs.select("hub", "block", "cls", "text", yes.alias("stored"), yes.alias("probing"), F.col("cls").alias("comp"))).distinct()
     edges = scratch.keep(_joined(docs, first, n, num, den), "links")
     roots = components(edges, scratch)
     split = placed.filter("parts > 1")
@@ -280,18 +283,22 @@ def _rooted(docs: DataFrame, n: int, num: int, den: int, members: int, tokens: i
         # the sets not joined to the hub so far, in pieces, against each part of their group
         open_ = known.filter("comp != top")
         meet = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("part != block")
-        probes = meet.select("hub", F.xxhash64("part", "block").alias("cell"), "part", "cls", "doc_id", "comp")
+        probes = meet.select("hub", F.xxhash64("part", "block").alias("cell"), "part", "cls", "text", "comp")
         cells = probes.select("hub", F.col("part").alias("block"), "cell").distinct()
-        targets = known.join(cells, ["hub", "block"]).select("hub", "cell", "cls", "doc_id", "comp")
+        targets = known.join(cells, ["hub", "block"]).select("hub", "cell", "cls", "text", "comp")
         no = F.lit(False)
-        more = probes.select("hub", F.col("cell").alias("block"), "cls", "doc_id", no.alias("stored"), yes.alias("probing"), "comp")
-        more = more.unionByName(targets.select("hub", F.col("cell").alias("block"), "cls", "doc_id", yes.alias("stored"), no.alias("probing"), "comp"))
+        more = probes.select("hub", F.col("cell").alias("block"), "cls", "text", no.alias("stored"), yes.alias("probing"), "comp")
+        more = more.unionByName(targets.select("hub", F.col("cell").alias("block"), "cls", "text", yes.alias("stored"), no.alias("probing"), "comp"))
         edges = scratch.keep(edges.unionByName(_joined(docs, more, n, num, den)), "links")
         roots = components(edges, scratch)
     rows = base.join(roots, F.col("cls") == F.col("node"), "left")
     return rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
 
 
+def _second_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(7), text)
+
+
 def _class(grams: np.ndarray) -> int:
     """A 64-bit name for a set's content."""
     mixed = _mix(grams + np.uint64(0x632BE59BD9B4E019))
@@ -303,22 +310,22 @@ def _class(grams: np.ndarray) -> int:
 
 
 def _joined(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links inside the blocks of ``rows`` (hub, block, cls, doc_id, stored, probing, comp).
+    """Links inside the blocks of ``rows`` (hub, block, cls, text, stored, probing, comp).
 
-    The n-grams of the few documents that are in a block are made anew from their texts: the sets of all documents
-    would be twice as large as the input.
+    The n-grams of the few texts that are in a block are made anew: the sets of all documents would be twice as large as
+    the input. Texts are told by 128 bits of hash, whatever their doc_id, and equal ones are one before they move.
     """
     place = F.struct("hub", "block", "stored", "probing", "comp")
-    wanted = rows.groupBy("doc_id", "cls").agg(F.collect_list(place).alias("places"))  # as many as a set has signatures
-    ids = wanted.withColumnRenamed("doc_id", "_id")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = rows.groupBy("text.text_key", "text.text_key2", "cls").agg(F.collect_list(place).alias("places"))  # as many as a set has signatures
+    texts = docs.select("text", F.xxhash64("text").alias("text_key"), _second_key(F.col("text")).alias("text_key2"))
+    texts = texts.groupBy("text_key", "text_key2").agg(F.first("text").alias("text")).join(wanted, ["text_key", "text_key2"])
     hashed = texts.select("cls", "places", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("words"), n))
             same = [len(x) > 0 and _class(x) == c for x, c in zip(sets, batch.column("cls").to_pylist(), strict=True)]
-            sets = [x for x, ok in zip(sets, same, strict=True) if ok]  # another text with the same id has another set
+            sets = [x for x, ok in zip(sets, same, strict=True) if ok]  # never a set of another class
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
             left = batch.filter(pa.array(same, pa.bool_()))
