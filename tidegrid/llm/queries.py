@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import LOWER, ORACLE, QUERIES, UPPER, fold, query, table  # noqa: F401
 from tidegrid.llm.conversation_repair import conversation_digests, repair_conversations
-from tidegrid.llm.decontaminate import find_leaks, leak_rows
+from tidegrid.llm.decontaminate import find_leaks
 from tidegrid.llm.html_blocks import extract_pages
 from tidegrid.llm.importance import importance_resample
 from tidegrid.llm.language_id import fit_language_model, identify
@@ -15,7 +15,7 @@ from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.lz_fingerprint import neighbour_likeness
 from tidegrid.llm.ngram_join import near_components
 from tidegrid.llm.packing import pack_documents
-from tidegrid.llm.preferences import every_turn, preference_rows, swapped_replies
+from tidegrid.llm.preferences import every_turn, preference_rows
 from tidegrid.llm import secrets
 from tidegrid.llm.secrets import KINDS as SECRET_KINDS
 from tidegrid.llm.secrets import PATTERNS as SECRET_PATTERNS
@@ -132,7 +132,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a document that holds a benchmark text with at most 5 % edits."""
-    return leak_rows(find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op6_best_fit_packing")
@@ -162,49 +162,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(table(spark, sf_dir, "documents"))
 
 
-PREFERENCES_SQL = r"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-), last AS (
-  SELECT conv_id, max(turn) AS at FROM t WHERE role = 'assistant' GROUP BY conv_id
-), reply AS (
-  SELECT t.conv_id, t.text FROM t JOIN last ON t.conv_id = last.conv_id AND t.turn = last.at
-), rows AS (
-  SELECT t.*, last.at, reply.conv_id IS NOT NULL AS has, CASE WHEN t.turn = last.at THEN reply.text ELSE t.text END AS other,
-         last.conv_id AS pair_id
-  FROM t JOIN last ON t.conv_id = last.conv_id AND t.turn <= last.at
-  LEFT JOIN reply ON reply.conv_id = xor(t.conv_id, 1)
-), marked AS (
-  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS x, regexp_replace(other, '<(\\*)\|', '<\\\1|', 'g') AS y,
-         min(CASE WHEN NOT has OR text <> other THEN turn END) OVER (PARTITION BY conv_id) AS differs
-  FROM rows
-), rendered AS (
-  SELECT *, has AND (differs IS NULL OR turn < differs) AS common,
-         '<|' || role || '|>' || chr(10) || x || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || y || '<|end|>' || chr(10) AS b
-  FROM (SELECT * REPLACE (CASE WHEN has THEN differs ELSE -1 END AS differs) FROM marked)
-), placed AS (
-  SELECT *, coalesce(sum(length(a)) FILTER (NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS ea,
-         coalesce(sum(length(b)) FILTER (NOT common) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS eb
-  FROM rendered
-)
-SELECT conv_id, CASE WHEN NOT bool_and(has) THEN 'unpaired' WHEN bool_and(common) THEN 'same' ELSE 'pair' END AS status,
-       count(*) FILTER (common) AS n_common,
-       coalesce(string_agg(a, '' ORDER BY turn) FILTER (common), '') AS prompt,
-       coalesce(string_agg(a, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
-       CASE WHEN bool_and(has) THEN coalesce(string_agg(b, '' ORDER BY turn) FILTER (NOT common), '') END AS rejected,
-       coalesce(string_agg((ea - length(a) + 14) || '-' || (ea - 1), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans,
-       CASE WHEN bool_and(has) THEN coalesce(string_agg((eb - length(b) + 14) || '-' || (eb - 1), ',' ORDER BY turn)
-         FILTER (NOT common AND role = 'assistant'), '') END AS rejected_spans
-FROM placed GROUP BY conv_id
-"""
-
-
-@query("op4_preference_format", PREFERENCES_SQL)
-def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with its neighbour's last reply, as prompt and masked completions."""
-    return _shown(preference_rows(*swapped_replies(table(spark, sf_dir, "conversations"))))
-
-
 def _shown(rows: DataFrame, *more: str) -> DataFrame:
     """The pairs of ``conversations`` with spans as text."""
 
@@ -258,10 +215,20 @@ FROM placed GROUP BY conv_id
 """
 
 
+def _all_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(preference_rows(*every_turn(table(spark, sf_dir, "conversations"))), "n_after", "after")
+
+
+@query("op4_preference_format", EVERY_TURN_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, with all its turns, against itself with its neighbour's last reply, as prompt and masked completions."""
+    return _all_preferences(spark, sf_dir)
+
+
 @query("op4_preference_all", EVERY_TURN_SQL)
 def op4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every conversation and every turn: ``op4_preference_format`` has the fixed SQL, which drops some."""
-    return _shown(preference_rows(*every_turn(table(spark, sf_dir, "conversations"))), "n_after", "after")
+    """The same under its earlier name."""
+    return _all_preferences(spark, sf_dir)
 
 
 # crc32 of a text: the table of all bytes by rule, and one table step per byte.
