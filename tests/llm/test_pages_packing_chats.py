@@ -44,6 +44,12 @@ def test_query_equals_sql(spark, name):
         (f"<div style='display:none'>{LONG}</div><div><p>{LONG}</p><h2>Links</h2><ul><li><a href=a>{LONG}</a></li></ul></div>", LONG),
         (f"<body><header><p>{LONG}</p></header><article><header><h1>T</h1></header><p>{LONG} <i>a</i>&#233;&lt;b</p></article>", f"T\n\n{LONG} aé<b"),
         ("<article><p>a<p>b", "a\n\nb"),
+        (f"<article><p>{LONG}</p><p class='ad'>{LONG}</p><p class=\"notice\">{LONG}</p><p>One <span class='advert'>Buy!</span> two</p></article>", f"{LONG}\n\nOne two"),
+        (f"<div class='layout has-sidebar no-ads with-header'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='page sidebar'><main><p>{LONG}</p></main><p>{LONG}</p></div>", LONG),
+        (f"<aside><article><p>{LONG}</p></article></aside><article><p>a <a title='a hidden gem' href=x>gem</a></p></article>", "a gem"),
+        (f"<article><p>{LONG}</p><div hidden><p>{LONG}</p></div><p aria-hidden='true'>x</p><div class='comment-box cookie-banner'>{LONG}</div></article>", LONG),
+        (f"<div class='site-footer'>{LONG}</div><div id='Sidebar'><p>{LONG}</p></div><p>{LONG}</p>", LONG),
         (f"<article><p>{LONG} 1 < 2 and 3 > 2</p><p>cut off <a href='x", f"{LONG} 1 < 2 and 3 > 2\n\ncut off"),
     ],
 )

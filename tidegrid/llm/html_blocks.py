@@ -31,6 +31,8 @@ PARTS = frozenset(
     widget alert complementary contentinfo search""".split()
 )
 TEXT_PARTS = frozenset("article main content post entry story body text articlebody".split())
+# First words of names that tell what a box has around it or lacks.
+ABOUT = frozenset("has no not with without is".split())
 # Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
     """a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they
@@ -41,10 +43,10 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-NAMES = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[^\W\d_]+")
-PARTS_OF_NAME = re.compile(r"[^A-Za-z]+")
+PARTS_OF_NAME = re.compile(r"[-_\d]+")
 SPACE = re.compile(r"[\s ]+")
 
 
@@ -52,7 +54,7 @@ SPACE = re.compile(r"[\s ]+")
 class Block:
     text: str
     linked: int  # characters inside links
-    role: str  # good inside an article, bad inside boilerplate, else empty
+    role: str  # good inside an article, bad inside boilerplate, named if only class, id or role say so, else empty
     heading: bool
     label: str = ""
 
@@ -68,6 +70,21 @@ class Rules:
     many_stops: float = 0.25
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes of a tag by name; names are in small letters, and those without a value are empty."""
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
+
+
+def is_named(tokens: list[str], names: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of ``names``, alone or as the last word of a compound (``site-footer``). Compounds
+    that begin with a word of ``ABOUT`` (``has-sidebar``) name something else."""
+    for token in tokens:
+        words = [w for w in PARTS_OF_NAME.split(token) if w]
+        if words and words[-1] in names and words[0] not in ABOUT:
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order. Broken markup is read as far as it goes; open elements end with the page."""
     out: list[Block] = []
@@ -131,12 +148,19 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "li" and (i := _inside(stack, ("li",), ("ul", "ol", "menu"))) is not None:
                 pop_to(i)
         role, skipped, link = (stack[-1][1:] if stack else ("", False, False))
-        skipped = skipped or tag in SKIPPED or bool(HIDDEN.search(m[3]))
-        names = {w.lower() for g in NAMES.findall(m[3]) for w in PARTS_OF_NAME.split("".join(g)) if w}
-        if role != "bad" and tag not in ("html", "body"):
-            if tag in BOILERPLATE or (tag == "header" and role != "good") or (names & PARTS and tag not in ("article", "main", "p", *INLINE)):
+        own = attributes(m[3])
+        tokens = " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split()
+        skipped = skipped or tag in SKIPPED or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(own.get("style", "")))
+        if tag in INLINE:
+            skipped = skipped or is_named(tokens, PARTS)  # an advert inside a sentence
+        elif role != "bad" and tag not in ("html", "body"):
+            if tag in BOILERPLATE or (tag == "header" and role != "good"):
                 role = "bad"
-            elif tag in ("article", "main") or (names & TEXT_PARTS and tag in ("div", "section", "td")):
+            elif tag in ("article", "main"):
+                role = "good"  # also in a box whose name says otherwise
+            elif is_named(tokens, PARTS):
+                role = "named"
+            elif role != "named" and tag in ("div", "section", "td") and is_named(tokens, TEXT_PARTS):
                 role = "good"
         if not m[0].endswith("/>") or tag in INLINE:
             stack.append((tag, role, skipped, link or tag == "a"))
@@ -159,7 +183,7 @@ def _inside(stack: list, tags: tuple, until: tuple) -> int | None:
 def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Label each block good or bad.
 
-    First pass: blocks inside boilerplate elements and blocks that are mostly links are bad. Where the page names its
+    First pass: blocks inside boilerplate, by element or by name, and blocks that are mostly links are bad. Where the page names its
     article, other blocks outside it are bad. Of the rest, long blocks with many stop words are good, long blocks with
     hardly any are bad outside an article, and short or middling blocks stay undecided. Second pass: undecided blocks
     take the label of the nearest decided blocks of their own part; if both sides differ, an undecided heading follows
@@ -171,7 +195,7 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
         links = b.linked / len(b.text)
-        if b.role == "bad" or (named and b.role != "good") or (links > rules.link_density and b.role != "good"):
+        if b.role in ("bad", "named") or (named and b.role != "good") or (links > rules.link_density and b.role != "good"):
             b.label = "bad"
         elif links > rules.link_density and len(b.text) > rules.short:
             b.label = "bad"
