@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import DOCS, brute_components, distance_to_part, dropped_lines, near_copies, prose
 from tidegrid.llm.decontaminate import normalise
 from tidegrid.llm.queries import toxicity_model
+from tidegrid.session import scratch_scope, shared_dir
 
 BAD = ("idiot", "moron", "scum", "loser", "pathetic", "worthless")
 
@@ -88,6 +92,36 @@ def test_near_duplicates_judges_rows_not_ids(spark):
     assert [tuple(r) for r in corpus_pipeline.near_duplicates(spark, only, "").collect()] == rows[:1]
 
 
+OWN = {c: "mine" for c in ("score", "predicted", "doc", "_lines", "_drop", "text_key", "row", "leaks", "cls", "key", "hub", "first")}
+
+
+def test_columns_of_the_caller_stay_and_stages_chain_without_a_write(spark, corpus):
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = wide = docs
+    wide = wide.withColumns({c: F.lit(v) for c, v in OWN.items()}).withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain, wide = stage(spark, plain, folder), stage(spark, wide, folder)
+        assert wide.columns == [*docs.columns, *OWN, "tags"], name
+    got = wide.collect()
+    assert got and all(r[c] == v for r in got for c, v in OWN.items()) and all(r.tags == {"k": r.source} for r in got)
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((r.doc_id, r.text or "") for r in plain.collect())
+    assert corpus_pipeline.packing(spark, wide, folder).count() >= len(got)
+
+
+def test_runs_clear_what_stages_leave(spark, corpus):
+    folder, _, _ = corpus
+    with scratch_scope(spark):
+        here = Path(shared_dir(spark))
+        before = set(here.iterdir()) if here.exists() else set()
+        out = corpus_pipeline.run(spark, folder)
+        again = corpus_pipeline.run(spark, folder)
+        assert out.count() == again.count() > 0
+        left = set(here.iterdir()) - before
+        assert {p.name.split("-")[0] for p in left} == {"corpus"} and len(left) == 2
+    assert not set(here.iterdir()) - before
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")

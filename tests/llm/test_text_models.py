@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -9,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, distance_to_part, prose
-from tidegrid.llm import queries
-from tidegrid.llm.decontaminate import Matcher, find_leaks, leak_rows, myers, normalise, without_leaks
-from tidegrid.llm.language_id import codewords, fit_language_model, identify
+from tidegrid.llm import queries, toxicity
+from tidegrid.llm.decontaminate import Matcher, find_leaks, myers, normalise, without_leaks
+from tidegrid.llm.language_id import LanguageModel, codewords, feature_shares, fit_language_model, identify
 from tidegrid.llm.lz_fingerprint import Parser, edited, fingerprints, likeness, neighbour_likeness, text_fingerprint
-from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, label_model, score_toxicity
+from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, label_model, score_toxicity, without_toxic
 
 SF = "/root/testdata/sf0.01"
 BIG = "/root/testdata/sf0.1"
@@ -46,6 +47,18 @@ def test_toxicity_learns_terms_and_scores_edge_cases(spark):
     by = {r.doc_id: r for r in got}
     assert by[1000].score == by[1001].score < 0.5 and by[None].predicted == 1
     assert any(t.startswith("zorb") for _, t in model.events)
+    kept = without_toxic(docs.withColumn("predicted", F.lit(7)), model).collect()
+    assert len(kept) == sum(r.predicted == 0 for r in got) and all(r.score == "mine" and r.predicted == 7 for r in kept)
+    texts = [t for _, t in rows]
+    assert np.allclose(model.score(texts), [dense_score(model, t) for t in texts])
+
+
+def dense_score(model, text):
+    """The weights of all voters against their votes, voter by voter."""
+    counts, total = model._hits(text)
+    votes = [float(counts[t] >= k) for k, t in model.events] + [float(p.search(text) is not None) for _, p in toxicity._PATTERNS]
+    votes += [float(total >= x) for x in toxicity.LEVELS] + [float(total >= 2 and 1000 * total >= d * len(text)) for d in toxicity.DENSITIES]
+    return 1 / (1 + np.exp(-np.dot([*votes, np.log1p(total), 1.0], model.weights)))
 
 
 def test_toxicity_without_labels_and_empty_tables(spark):
@@ -98,18 +111,32 @@ def test_leaks_against_brute_force(spark):
         rows.append((i, text))
     rows += [(100, None), (101, ""), (102, items[0][1] * 3)]
     docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    want = {i: {k for k, x in items if x and len(normalise(x)) >= 24 and distance_to_part(normalise(x), normalise(t or "")) <= int(len(normalise(x)) * 0.05)} for i, t in rows}
+    items += [(60, "\u00c9T\u00c9 of 42, now"), (61, "rows in t")]  # short: unchanged and whole words
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows += [(103, "x \u00e9t\u00e9  OF 42,\nNow y"), (104, "t\u00e9t\u00e9 of 42, now"), (105, "arrows in t rows in ten rows in T."), (106, "\u0130 and " + items[1][1].upper())]
+    docs = docs_of(spark, rows)
+
+    def holds(item, text):
+        item, text = normalise(item), normalise(text or "")
+        if len(item) < 24:
+            return bool(re.search(r"(?<![^\W_])" + re.escape(item) + r"(?![^\W_])", text))
+        return distance_to_part(item, text) <= int(len(item) * 0.05)
+
+    want = {i: {k for k, x in items if x and holds(x, t)} for i, t in rows}
+    assert want[103] == {60} and want[105] == {61} and want[106] == {1} and not want[104]
+    texts = dict(rows)
     for chars in (4_000_000, 300):  # one automaton, several
-        found = find_leaks(docs.withColumn("leaks", F.lit(1)), bench, shard_chars=chars)
-        got = {r.doc_id: {h.item_id for h in r.leaks} for r in found.collect()}
+        found = find_leaks(docs.withColumn("start", F.lit(1)), bench, shard_chars=chars).collect()
+        got = {i: set() for i in want}
+        for r in found:
+            got[r.doc_id].add(r.item_id)
+            if r.distance == 0:
+                assert normalise(texts[r.doc_id][r.start : r.end]) == normalise(dict(items)[r.item_id])
         assert got == want
+        clean = without_leaks(docs.withColumn("leaks", F.lit("mine")), bench, shard_chars=chars).collect()
+        assert {r.doc_id for r in clean} == {i for i, w in want.items() if not w} and all(r.leaks == "mine" for r in clean)
     assert any(want.values()) and not all(want.values())
-    spans = leak_rows(found).filter("distance = 0").collect()
-    texts = dict(rows)
-    for s in spans:
-        assert normalise(texts[s.doc_id][s.start : s.end]) == normalise(dict(items)[s.item_id])
-    assert {r.doc_id for r in without_leaks(found).collect()} == {i for i, w in want.items() if not w}
-    assert find_leaks(docs, bench.filter("false")).filter("size(leaks) > 0").count() == 0 and find_leaks(docs.filter("false"), bench).count() == 0
+    assert find_leaks(docs, bench.filter("false")).count() == 0 and find_leaks(docs.filter("false"), bench).count() == 0
 
 
 def test_every_place_of_an_item_is_reported():
@@ -128,6 +155,31 @@ def test_codewords_are_apart():
     assert codewords(1, 15).shape == (1, 15) and codewords(0, 15).shape == (0, 15)
 
 
+def test_wrong_bits_are_corrected():
+    """Any single bit may be wrong and, with equal trust, any three, as codewords of four languages are eight apart."""
+    code = codewords(4, 15)
+    model = LanguageModel(list("abcd"), code, np.zeros((1, 15)), np.ones(15), 0.2)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) == 8
+    for k, word in enumerate(code):
+        for wrong in [[j] for j in range(15)] + [[0, 7, 14], [1, 2, 3], [4, 9, 13]]:
+            bits = 3.0 * word
+            bits[wrong] *= -1
+            loss = [sum(np.log1p(np.exp(-c * b)) for c, b in zip(other, bits, strict=True)) for other in code]
+            assert model.decode(bits)[0] == "abcd"[k] == "abcd"[int(np.argmin(loss))]
+    assert model.decode(np.zeros(15))[2]
+
+
+def test_repeated_questions_use_other_features():
+    code = codewords(4, 15)
+    use = feature_shares(code, 90)
+    assert use[-1].all() and use[:-1].sum() == 90 * 7
+    for i in range(15):
+        for j in range(i):
+            if (code[:, i] == code[:, j]).all():
+                assert not (use[:-1, i] * use[:-1, j]).any()
+    assert feature_shares(codewords(40, 15), 90).all()
+
+
 def test_language_edge_cases(spark):
     rng = random.Random(11)
     other = lambda n: " ".join(rng.choice(["ção", "não", "uma", "ões", "lhe"]) + rng.choice(["a", "os"]) for _ in range(n))

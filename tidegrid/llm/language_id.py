@@ -43,8 +43,8 @@ def ngram_features(text: str, size: int) -> np.ndarray | None:
 def codewords(classes: int, bits: int) -> np.ndarray:
     """One row of +1 / -1 per class, chosen one after the other for the largest least distance to those before.
 
-    Candidates come from a fixed generator; constant and repeated columns are avoided by taking, for few classes, all
-    distinct two-way splits (the exhaustive code) before any repetition.
+    Candidates come from a fixed generator. For few classes all distinct two-way splits come before any repetition (the
+    exhaustive code); repeated splits get classifiers of their own, see ``feature_shares``.
     """
     if classes <= 1:
         return np.ones((classes, bits), np.int8)
@@ -60,6 +60,19 @@ def codewords(classes: int, bits: int) -> np.ndarray:
     return np.array(out)
 
 
+def feature_shares(code: np.ndarray, features: int) -> np.ndarray:
+    """(features + 1, bits): the features each bit may use, and the bias. Bits that ask the same question (equal columns,
+    or opposite ones) share the features out among them, so that their classifiers err for different reasons."""
+    groups: dict[bytes, list[int]] = {}
+    for j, column in enumerate(code.T):
+        groups.setdefault((column * column[0]).tobytes() if len(column) else b"", []).append(j)
+    out = np.ones((features + 1, code.shape[1]), np.float32)
+    for same in groups.values():
+        for k, j in enumerate(same):
+            out[:features, j] = np.arange(features) % len(same) == k
+    return out
+
+
 @dataclass
 class LanguageModel:
     """``weights`` (features + 1, bits) of the bit classifiers and ``trust`` (bits) in each of them."""
@@ -78,15 +91,18 @@ class LanguageModel:
             if x is None or not self.languages:
                 out.append((UNDECIDED, 0.0, True))
                 continue
-            bits = x @ self.weights[:-1] + self.weights[-1]
-            loss = (self.trust * np.logaddexp(0, -self.code * bits)).sum(1)
-            p = np.exp(loss.min() - loss)
-            p /= p.sum()
-            best = int(loss.argmin())
-            second = np.partition(p, -2)[-2] if len(p) > 1 else 0.0
-            out.append((self.languages[best], float(p[best]), bool(p[best] - second < self.margin)))
+            out.append(self.decode(x @ self.weights[:-1] + self.weights[-1]))
         return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
+    def decode(self, bits: np.ndarray) -> tuple[str, float, bool]:
+        """The language whose codeword has the least loss, each bit weighted by its trust."""
+        loss = (self.trust * np.logaddexp(0, -self.code * bits)).sum(1)
+        p = np.exp(loss.min() - loss)
+        p /= p.sum()
+        best = int(loss.argmin())
+        second = np.partition(p, -2)[-2] if len(p) > 1 else 0.0
+        return self.languages[best], float(p[best]), bool(p[best] - second < self.margin)
+
 
 def fit_language_model(
     docs: DataFrame, use: Column | None = None, rows: int = 4000, per_language: int = 1500, features: int = 2048, bits: int = 15, margin: float = 0.2
@@ -123,19 +139,20 @@ def fit_language_model(
     code = codewords(len(names), bits)
     target = (code[y] + 1) / 2
     held = np.arange(len(y)) % 5 == 4
-    trial = _fit_bits(x[~held], target[~held])
+    use = feature_shares(code, features)
+    trial = _fit_bits(x[~held], target[~held], use)
     right = ((x[held] @ trial > 0) == (target[held] > 0.5)).mean(0) if held.any() else np.ones(bits)
     trust = np.clip(2 * right - 1, 0.05, None)
-    return LanguageModel(names, code, _fit_bits(x, target), trust / trust.mean(), margin)
+    return LanguageModel(names, code, _fit_bits(x, target, use), trust / trust.mean(), margin)
 
 
-def _fit_bits(x: np.ndarray, target: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
-    """All bit classifiers at once by accelerated gradient steps on the logistic loss."""
+def _fit_bits(x: np.ndarray, target: np.ndarray, use: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
+    """All bit classifiers at once, on the features each may use, by accelerated gradient steps on the logistic loss."""
     w = look = np.zeros((x.shape[1], target.shape[1]), np.float32)
     step = 4.0 / max(float((x**2).sum(1).max()), 1e-6)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - step * (x.T @ (p - target).astype(np.float32) / max(len(x), 1) * 1.0 + penalty * look)
+        new = look - step * (use * (x.T @ (p - target).astype(np.float32)) / max(len(x), 1) + penalty * look)
         look = new + t / (t + 3) * (new - w)
         w = new
     return w

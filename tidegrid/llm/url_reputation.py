@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import ascii_lower
+from tidegrid.llm.common import Scratch, ascii_lower
 
-# Public suffixes of two labels. Any other suffix is the last label.
+# The public suffixes of two labels that are known unless others are passed. Any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.mx", "gov.uk", "org.uk")
 
 Rule = tuple[str, str, str]  # allow or block, host, path
@@ -30,15 +30,15 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*two_labels), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The registered domain: the suffix and one label before it."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*two_labels), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -72,19 +72,23 @@ def _level(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFr
     return groups, one.select((1 / rho - 1).alias(name), *([F.coalesce(p0, F.lit(0.5)).alias("p0")] if name == "k_suffix" else []))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(
+    outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES, scratch: Scratch | None = None
+) -> DataFrame:
     """Posterior share of bad outcomes for every row of ``hosts`` (column ``host``).
 
     ``outcomes`` has ``host`` and ``bad`` (0/1; NULL outcomes are left out). A host is shrunk to its registered
     domain, that to its suffix, that to the whole table; a host without outcomes takes over its parent's share with the
     prior's uncertainty. Returns host, n, bad, mean, lower, upper (normal bounds of the beta posterior).
 
-    Empty outcomes give a prior mean of 0.5. NULL hosts are the empty host.
+    Empty outcomes give a prior mean of 0.5. NULL hosts are the empty host. ``two_labels`` are the public suffixes of two
+    labels. Counts per host are written once, and the three levels are made from them.
     """
     found = outcomes.filter("bad IS NOT NULL").groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     base = hosts.select(F.coalesce("host", F.lit("")).alias("host")).groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     every = found.unionByName(base).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    every = every.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    every = every.withColumn("domain", domain_of(F.col("host"), two_labels)).withColumn("suffix", suffix_of(F.col("host"), two_labels))
+    every = (scratch or Scratch(hosts.sparkSession, "hosts")).keep(every, "counts")
     suffixes, s = _level(every, ["suffix"], "k_suffix")
     domains, d = _level(every, ["domain", "suffix"], "k_domain")
     _, h = _level(every, ["host"], "k_host")
@@ -106,7 +110,9 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     )
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), limit: float = 0.5, z: float = 1.645, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES
+) -> DataFrame:
     """Every row of ``pages`` (any columns, ``url`` among them) with host, path, rule, verdict, bad_mean and bad_lower.
 
     A rule that fits decides. Else a page is blocked if even the lower posterior bound of its host's bad share is above
@@ -115,7 +121,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = ()
     """
     own = ("host", "path", "rule", "verdict", "bad_mean", "bad_lower")
     rows = pages.drop(*own).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    fame = host_reputation(outcomes, rows.select("host"), z).select("host", F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"))
+    fame = host_reputation(outcomes, rows.select("host"), z, two_labels).select("host", F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"))
     rows = rows.join(fame, "host", "left").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("bad_lower") > limit, "block").otherwise("allow")
     return rows.select(
