@@ -10,51 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Scratch, fold, table
-from tidegrid.llm.decontaminate import find_leaks, without_leaks
+from tidegrid.llm.decontaminate import without_leaks
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.ngram_join import without_near_copies
 from tidegrid.llm.packing import pack_documents
-from tidegrid.llm.toxicity import fit_toxicity, score_toxicity
-
-_used: list[Scratch] = []  # what the stage before has left in the shared folder
-
-
-def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """The stage's own tables. Its predecessor's result is written by now, so that one's tables can go."""
-    while _used:
-        _used.pop().clear()
-    _used.append(Scratch(spark, name))
-    return _used[-1]
+from tidegrid.llm.toxicity import fit_toxicity, without_toxic
+from tidegrid.session import scratch_scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier, learned from four fifths of the labels, doesn't call toxic."""
-    _scratch(spark, "toxicity")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), use=fold(F.col("doc_id"), 5) != 0)
-    return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that are in ten or more documents; a document that loses all of them stays, empty."""
-    out = drop_repeated_lines(docs, min_docs=10, scratch=_scratch(spark, "line-dedup"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = drop_repeated_lines(docs, min_docs=10, counts=False)
+    if "n_chars" not in docs.columns:
+        return out
+    chars = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
+    return out.withColumn("n_chars", chars)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles, one row stays: the least by doc_id, hash of
     the text, other columns. Repeated rows are one document; texts that share a doc_id are judged each by its own."""
-    return without_near_copies(docs, n=5, num=80, den=100, scratch=_scratch(spark, "near-duplicates"))
+    return without_near_copies(docs, n=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark text, not even one with a few edits."""
-    _scratch(spark, "decontamination")
-    return without_leaks(find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequence, slot and offset of every piece of every document left."""
-    return pack_documents(docs, scratch=_scratch(spark, "packing"))
+    return pack_documents(docs)
 
 
 STAGES = [
@@ -69,11 +61,16 @@ ORACLE_SQL = None  # a trained classifier and edit distances; tests compare with
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read by the next."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read by the next.
+
+    What a stage leaves in that folder goes as soon as its rows are written. A stage that is called alone may be
+    planned lazily and chained: its tables stay until the ``scratch_scope`` around the call ends.
+    """
     scratch = Scratch(spark, "corpus")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark):
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = docs
