@@ -249,19 +249,19 @@ def leakage_check(spark, sf):
 
 # ---- execution -----------------------------------------------------------------------------------
 
-PROPOSAL = """{"iteration": 1, "analysis": "daily cycle and short memory of the load", "new_features": [
- {"name": "lag_72", "type": "lag", "target_col": "LOAD", "params": {"lag": 72}},
- {"name": "roll_max", "type": "rolling", "target_col": "LOAD", "params": {"window": 24, "stat": "max"}},
- {"name": "mul", "type": "cross", "params": {"col1": "w1", "col2": "LOAD", "operation": "multiply"}},
- {"name": "hours", "type": "time", "time_col": "ts", "params": {"features": ["hour"], "cyclical": false}}]}"""
+PROPOSAL = """{"iteration": 1, "analysis": "load of a day and a half ago, quiet hours, season", "new_features": [
+ {"name": "older", "type": "lag", "target_col": "LOAD", "params": {"lag": 36}},
+ {"name": "quiet", "type": "rolling", "target_col": "LOAD", "params": {"window": 18, "stat": "min"}},
+ {"name": "spread", "type": "cross", "params": {"col1": "w1", "col2": "LOAD", "operation": "subtract"}},
+ {"name": "season", "type": "time", "time_col": "ts", "params": {"features": ["month"], "cyclical": false}}]}"""
 
 
 @query(
     "spec_execute",
     f"""WITH {PANEL_SQL}, d AS (SELECT series, ts, coalesce(LOAD, 0) AS LOAD, w1 FROM panel)
-        SELECT series, ts, LOAD, w1, lag(LOAD, 72) OVER (PARTITION BY series ORDER BY ts) AS LOAD_lag_72,
-        {_frame_sql('max', 'LOAD', '23 PRECEDING AND CURRENT ROW', 24)} AS LOAD_rolling_24_max, {R('w1 * LOAD', 4)} AS w1_multiply_LOAD,
-        CAST(hour(ts) AS INTEGER) AS ts_hour FROM d""",
+        SELECT series, ts, LOAD, w1, lag(LOAD, 36) OVER (PARTITION BY series ORDER BY ts) AS LOAD_lag_36,
+        {_frame_sql('min', 'LOAD', '17 PRECEDING AND CURRENT ROW', 18)} AS LOAD_rolling_18_min, {R('w1 - LOAD', 4)} AS w1_minus_LOAD,
+        CAST(month(ts) AS INTEGER) AS ts_month FROM d""",
 )
 def spec_execute(spark, sf):
     """A proposal is parsed and validated as a table, then run over the hours of every user."""
@@ -269,7 +269,7 @@ def spec_execute(spark, sf):
     text = spark.range(1).select(F.lit(0).alias("proposal_id"), F.lit(PROPOSAL).alias("raw"))
     valid = specs.validate(specs.extract_json(text), ["proposal_id"], df.columns)
     out, _, _ = execute_specs(df, HOURLY, specs.specs_to_rows(valid))
-    return rounded(rounded(out, "LOAD_rolling_24_max"), "w1_multiply_LOAD", digits=4)
+    return rounded(rounded(out, "LOAD_rolling_18_min"), "w1_minus_LOAD", digits=4)
 
 
 _FEATURES = ("hour", "lag_1", "lag_24", "rolling_mean_24_load")
@@ -277,9 +277,8 @@ _RANK_SQL = """strong AS (SELECT series, event_type AS f, row_number() OVER (PAR
     (SELECT CAST(user_id % 5 + 1 AS BIGINT) AS series, event_type, sum(CAST(round(value * 100) AS BIGINT)) AS g FROM events GROUP BY 1, 2))"""
 
 
-@query(
-    "propose_features",
-    f"""WITH {TYPES_SQL}, typed0 AS (SELECT series, ts, coalesce(LOAD, 0) AS LOAD FROM typed), {acf_sql('typed0', 'a', 'LOAD')},
+# Candidates per series as (series, prio, o, name, type, target_col, time_col, params).
+_CANDIDATES_SQL = f"""{TYPES_SQL}, typed0 AS (SELECT series, ts, coalesce(LOAD, 0) AS LOAD FROM typed), {acf_sql('typed0', 'a', 'LOAD')},
         {_RANK_SQL},
         fam AS (SELECT DISTINCT series, 1 AS prio, CAST(0 AS DOUBLE) AS o, 'ts_cycles' AS name, 'time' AS type, NULL AS target_col, 'ts' AS time_col,
                 '{{"features":["hour"],"cyclical":true}}' AS params FROM a),
@@ -290,16 +289,52 @@ _RANK_SQL = """strong AS (SELECT series, event_type AS f, row_number() OVER (PAR
                   FROM a WHERE acf < -0.3 AND lag = 24),
         prods AS (SELECT x.series, 5, CAST((y.k - 1) * (y.k - 2) // 2 + x.k AS DOUBLE), x.f || '_multiply_' || y.f, 'cross', NULL, NULL, '{{"col1":"' || x.f || '","col2":"' || y.f || '","operation":"multiply"}}'
                   FROM strong x JOIN strong y ON y.series = x.series AND x.k < y.k AND y.k <= 10),
-        u AS (SELECT * FROM fam UNION ALL SELECT * FROM lags UNION ALL SELECT * FROM rolls UNION ALL SELECT * FROM diffs UNION ALL SELECT * FROM prods),
+        u AS (SELECT * FROM fam UNION ALL SELECT * FROM lags UNION ALL SELECT * FROM rolls UNION ALL SELECT * FROM diffs UNION ALL SELECT * FROM prods)"""
+
+
+@query(
+    "propose_features",
+    f"""WITH {_CANDIDATES_SQL},
         n AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY prio, o, name) - 1 AS INTEGER) AS pos FROM u)
         SELECT series, 2 AS iteration, pos, name, type, target_col, time_col, params FROM n WHERE pos < 5""",
 )
 def propose_features_(spark, sf):
     """Proposals per event type, from its own correlations; importance is the value per event type."""
+    rows, strongest = _evidence(spark, sf)
+    return propose_features(rows, strongest, _FEATURES, ["series"], "LOAD", "ts", iteration=2)
+
+
+@query(
+    "propose_features_next",
+    f"""WITH {_CANDIDATES_SQL},
+        told AS (SELECT series, k AS rank, CASE WHEN k % 2 = 0 THEN 'LOAD_rolling_' || (6 * k) || '_std' ELSE 'rolling_max_' || (11 * k + 1) || '_load' END AS feature,
+                 CASE WHEN k % 2 = 0 THEN 6 * k ELSE 11 * k + 1 END AS w, CASE WHEN k % 2 = 0 THEN 'std' ELSE 'max' END AS stat FROM strong),
+        wider AS (SELECT DISTINCT series, 6, rank + i / 2.0::DOUBLE, 'LOAD_rolling_' || size || '_' || stat, 'rolling', 'LOAD', NULL, '{{"window":' || size || ',"stat":"' || stat || '"}}'
+                  FROM (SELECT series, rank, stat, unnest([0, 1]) AS i, unnest([2 * w, w // 2]) AS size FROM told WHERE rank <= 10) WHERE size >= 2 AND size NOT IN (23, 24, 25)),
+        lately AS (SELECT series, CASE WHEN sum(g) % 2 = 0 THEN 0.002 ELSE 0.2 END AS gain FROM
+                   (SELECT CAST(user_id % 5 + 1 AS BIGINT) AS series, CAST(round(value * 100) AS BIGINT) AS g FROM events) GROUP BY series),
+        n AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY gain < 0.01 AND type IN ('lag', 'cross'), prio, o, name) - 1 AS INTEGER) AS pos
+              FROM (SELECT * FROM u UNION ALL SELECT * FROM wider) JOIN lately USING (series))
+        SELECT series, 3 AS iteration, pos, name, type, target_col, time_col, params FROM n WHERE pos < 5""",
+)
+def propose_features_next(spark, sf):
+    """The same with a memory: rolling statistics among the weakest features get other windows, and where the round before
+    (lags and crosses) gained little, other kinds of features come first. Gains follow from the values of the type."""
+    rows, strongest = _evidence(spark, sf)
+    k = F.col("rank")
+    feature = F.when(k % 2 == 0, F.format_string("LOAD_rolling_%d_std", 6 * k)).otherwise(F.format_string("rolling_max_%d_load", 11 * k + 1))
+    weakest = strongest.select("series", "rank", feature.alias("feature"))
+    value = F.sum(F.round(F.col("value") * 100).cast("long"))
+    last = table(spark, sf, "events").groupBy((F.col("user_id") % 5 + 1).alias("series")).agg(F.when(value % 2 == 0, 0.002).otherwise(0.2).alias("gain"))
+    last = last.withColumn("kinds", F.array(F.lit("lag"), F.lit("cross")))
+    return propose_features(rows, strongest, _FEATURES, ["series"], "LOAD", "ts", iteration=3, weakest=weakest, last=last)
+
+
+def _evidence(spark, sf):
+    """Correlations per event type, and the event types in order of their value as features."""
     df = by_type(spark, sf).select("series", "ts", F.coalesce("LOAD", F.lit(0.0)).alias("LOAD"))
     rows = profile.acf(profile.indexed_target(df, HOURLY, "LOAD"), HOURLY, "LOAD")
     value = F.sum(F.round(F.col("value") * 100).cast("long")).alias("g")
     per_type = table(spark, sf, "events").groupBy((F.col("user_id") % 5 + 1).alias("series"), "event_type").agg(value)
     rank = F.row_number().over(Window.partitionBy("series").orderBy(F.col("g").desc(), "event_type"))
-    strongest = per_type.select("series", rank.alias("rank"), F.col("event_type").alias("feature"))
-    return propose_features(rows, strongest, _FEATURES, ["series"], "LOAD", "ts", iteration=2)
+    return rows, per_type.select("series", rank.alias("rank"), F.col("event_type").alias("feature"))

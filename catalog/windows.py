@@ -219,7 +219,7 @@ def _scale(kind: str):
     def run(spark, sf):
         parts = split_timeseries(_two(spark, sf), LOOSE)
         scaler = fit_scaler(parts, ["series"], ["LOAD", "w1"], kind)
-        scaled = scaler.transform(parts, "_scaled")
+        scaled = scaler.transform(scaler.attach(parts), "_scaled")  # one join for both directions
         back = scaler.inverse(scaled.withColumn("LOAD_back", F.col("LOAD_scaled")), col="LOAD_back", like="LOAD")
         return back.select(
             "series", "ts", "split", r("LOAD_scaled").alias("LOAD_scaled"), r("w1_scaled").alias("w1_scaled"), r("LOAD_back", 4).alias("LOAD_back")

@@ -158,6 +158,33 @@ def test_proposals_follow_the_rules(spark):
     assert rest["name"].tolist() == ["lag_1_minus_lag_12", "temp_multiply_lag_1", "temp_multiply_hour", "lag_1_multiply_hour"]
 
 
+def test_weak_features_get_other_windows_and_a_small_gain_changes_the_kind(spark):
+    rows = spark.createDataFrame([(0, 48, 0.7), (1, 48, 0.7)], "scope int, lag int, acf double")
+    top = spark.createDataFrame([], "scope int, rank int, feature string")
+    names = ["LOAD_rolling_10_std", "rolling_max_3_load", "temp_lag_24", "LOAD_rolling_96_min", "w1_rolling_8_mean"]
+    weak = spark.createDataFrame([(s, i, n) for s in (0, 1) for i, n in enumerate(names, 1)], "scope int, rank int, feature string")
+    last = spark.createDataFrame([(0, 0.3, ["rolling"]), (1, 0.009, ["lag", "rolling"])], "scope int, gain double, kinds array<string>")
+    features = ["lag_1", "LOAD_rolling_48_mean", "ts_hour_sin", *names]
+    got = propose_features(rows, top, features, ["scope"], weakest=weak, last=last).orderBy("scope", "pos").collect()
+    want = ["LOAD_lag_48", "LOAD_rolling_20_std", "LOAD_rolling_5_std", "LOAD_rolling_6_max", "LOAD_rolling_192_min"]
+    # half of 3 is no window, half of 96 is there; of two stale kinds the order stays
+    assert [r["name"] for r in got] == [*want, *want]
+    cross = spark.createDataFrame([(1, 1, "temp"), (1, 2, "hour")], "scope int, rank int, feature string")
+    got = propose_features(rows, cross, features, ["scope"], weakest=weak, last=last).where("scope = 1").orderBy("pos").collect()
+    assert [r["type"] for r in got] == ["cross", "lag", "rolling", "rolling", "rolling"]
+
+
+def test_history_takes_a_round_once(spark, tmp_path):
+    path = str(tmp_path / "h")
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 4.0), ("b", 1, 7.0)], "run string, iteration int, RMSE double")
+    sinks.append_history(rows, path, ["run"])
+    again = spark.createDataFrame([("a", 2, 3.5), ("a", 3, 3.0)], "run string, iteration int, RMSE double")
+    for _ in range(2):
+        sinks.append_history(again, path, ["run"])
+    got = sorted((r["run"], r["iteration"], r["RMSE"]) for r in spark.read.schema(rows.schema).parquet(path).collect())
+    assert got == [("a", 1, 5.0), ("a", 2, 3.5), ("a", 3, 3.0), ("b", 1, 7.0)]
+
+
 def test_sinks_round_trip(spark, tmp_path):
     pred = spark.createDataFrame([(1, 10.0, 12.5)], "k int, y double, p double")
     sinks.write_predictions(pred, str(tmp_path / "p"), ["k"], "y", "p")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.layout import join_by_series
 
 
+STATS = "__scale"
+
+
 @dataclass(frozen=True)
 class Scaler:
     """``stats`` has one row per series with ``c_<col>`` (centre) and ``s_<col>`` (scale). Rows of a
@@ -20,21 +23,28 @@ class Scaler:
     keys: tuple[str, ...]
     cols: tuple[str, ...]
 
-    def _with_stats(self, df: DataFrame) -> DataFrame:
-        return join_by_series(df, self.stats, self.keys)
+    def attach(self, df: DataFrame) -> DataFrame:
+        """``df`` with the statistics of each row's series as one struct, which ``transform`` and ``inverse`` then read
+        without a join of their own."""
+        names = [c for c in self.stats.columns if c not in self.keys]
+        return join_by_series(df, self.stats.select(*self.keys, F.struct(*names).alias(STATS)), self.keys)
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
-        out = {c: (F.col(c) - F.col(f"c_{c}")) / F.col(f"s_{c}") for c in self.cols}
+        out = {c: (F.col(c) - self._of(f"c_{c}")) / self._of(f"s_{c}") for c in self.cols}
         return self._select(df, out, suffix)
 
     def inverse(self, df: DataFrame, suffix: str = "", col: str | None = None, like: str | None = None) -> DataFrame:
         """Undo the scaling of all columns, or of one column by the numbers of ``like``."""
         pairs = {col: like} if col else {c: c for c in self.cols}
-        out = {c: F.col(c) * F.col(f"s_{k}") + F.col(f"c_{k}") for c, k in pairs.items()}
+        out = {c: F.col(c) * self._of(f"s_{k}") + self._of(f"c_{k}") for c, k in pairs.items()}
         return self._select(df, out, suffix)
 
+    @staticmethod
+    def _of(name: str) -> Column:
+        return F.col(STATS)[name]
+
     def _select(self, df: DataFrame, out: dict, suffix: str) -> DataFrame:
-        joined = self._with_stats(df)
+        joined = df if STATS in df.columns else self.attach(df)
         if suffix:
             return joined.select(*df.columns, *[e.alias(c + suffix) for c, e in out.items()])
         return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])

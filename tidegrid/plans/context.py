@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidegrid.operators.layout import Series
+from tidegrid.operators.layout import Series, join_by_series
 from tidegrid.operators.profile import (
     acf,
     importance_bottom,
@@ -27,6 +27,7 @@ PER_ROUND = 5
 TOP_FEATURES = 10
 STOP_DELTA, STOP_FROM = 0.001, 3
 LAST_FEATURES = 5
+SMALL_GAIN = 0.01  # share of the RMSE below which a round counts as having gained little
 
 
 def dataset_profile(
@@ -146,6 +147,26 @@ def _existing(features: Sequence[str], pattern: str) -> list[int]:
     return sorted({int(m.group(1)) for f in features for m in [re.search(pattern, f)] if m})
 
 
+def _other_windows(weakest: DataFrame, keys: Sequence[str], target: str, near: set[int], spec) -> DataFrame:
+    """Rolling statistics of the target among weak features, over twice and half their window."""
+    forms = (
+        (rf"^{re.escape(target)}_rolling_(\d+)_([a-z]+)$", 1, 2),
+        (rf"^rolling_([a-z]+)_(\d+)_{re.escape(target.lower())}$", 2, 1),
+    )
+    size = stat = F.lit("")
+    for pattern, at_size, at_stat in forms:
+        hit = F.col("feature").rlike(pattern)
+        size = F.when(hit, F.regexp_extract("feature", pattern, at_size)).otherwise(size)
+        stat = F.when(hit, F.regexp_extract("feature", pattern, at_stat)).otherwise(stat)
+    rows = weakest.where(F.col("rank") <= TOP_FEATURES).select(*keys, "rank", size.try_cast("int").alias("size"), stat.alias("stat"))
+    rows = rows.where("size IS NOT NULL").select(*keys, "rank", "stat", F.posexplode(F.array(F.col("size") * 2, F.floor(F.col("size") / 2).cast("int"))).alias("i", "size"))
+    rows = rows.where((F.col("size") >= 2) & (~F.col("size").isin(*near) if near else F.lit(True)))
+    text = F.col("size").cast("string")
+    name = F.concat(F.lit(f"{target}_rolling_"), text, F.lit("_"), F.col("stat"))
+    params = F.concat(F.lit('{"window":'), text, F.lit(',"stat":"'), F.col("stat"), F.lit('"}'))
+    return rows.select(*keys, spec(6, F.col("rank") + F.col("i") / 2, name, "rolling", True, params).alias("p")).dropDuplicates()
+
+
 def propose_features(
     acf_rows: DataFrame,
     strongest: DataFrame,
@@ -155,15 +176,20 @@ def propose_features(
     time_col: str = "ts",
     iteration: int = 1,
     excluded: Sequence[str] = (),
+    weakest: DataFrame | None = None,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """Rule-based proposals, at most five per series and round.
 
     In this order: a missing family (lag, rolling, calendar); a lag and a rolling mean at every
-    lag with a high correlation, the difference to that lag where it is strongly negative; and
-    products of the ten most important features, the strongest pairs first. Lags next to an existing one and columns that
-    exist already are left out.
+    lag with a high correlation, the difference to that lag where it is strongly negative;
+    products of the ten most important features, the strongest pairs first; and the rolling statistics of the target among
+    the ten least important features over twice and half their window. Where the round before gained little, its kinds of
+    features (lag, rolling, cross, time) come after all others, whatever the rule. Lags and windows next to existing ones and
+    columns that exist already are left out.
 
-    ``acf_rows``: ``keys, lag, acf``; ``strongest``: ``keys, rank, feature`` for ranks 1 to 10.
+    ``acf_rows``: ``keys, lag, acf``; ``strongest`` and ``weakest``: ``keys, rank, feature`` for ranks 1 to 10; ``last``: ``keys,
+    gain`` (share by which the RMSE fell) and ``kinds`` (array) of the round before, at most one row per series.
     """
     near = {k + d for k in _existing(features, rf"^(?:{re.escape(target)}_)?lag_(\d+)$") for d in (-1, 0, 1)}
     near_roll = {
@@ -247,12 +273,19 @@ def propose_features(
     ordered = [(a, b) for b in ranks for a in range(1, b)]
     pairs = F.array(*[product(i, f"f{a}", f"f{b}") for i, (a, b) in enumerate(ordered, 1)])
     parts.append(top.select(*keys, F.explode(pairs).alias("p")).where(F.col("p.name").isNotNull()))
+    if weakest is not None:
+        parts.append(_other_windows(weakest, keys, target, near_roll, spec))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     # Candidates per series are bounded by the lag list, so this window stays tiny.
-    w = Window.partitionBy(*keys).orderBy("prio", "order", "name")
+    w = Window.partitionBy(*keys).orderBy("stale", "prio", "order", "name")
     fresh = every.select(*keys, "p.*").where(~F.col("name").isin(*existing) if existing else F.lit(True))
+    stale = F.lit(False)
+    if last is not None:
+        fresh = join_by_series(fresh, last.select(*keys, "gain", "kinds"), list(keys))
+        stale = F.coalesce((F.col("gain") < SMALL_GAIN) & F.array_contains("kinds", F.col("type")), F.lit(False))
+    fresh = fresh.withColumn("stale", stale)
     return (
         fresh.withColumn("pos", F.row_number().over(w) - 1)
         .where(F.col("pos") < PER_ROUND)

@@ -28,8 +28,11 @@ def write_importance(table: DataFrame, path: str, fmt: str = "csv") -> None:
     ordered.write.mode("errorifexists").format(fmt).option("header", True).save(path)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_history(rows: DataFrame, path: str, run: Sequence[str] = (), iteration: str = "iteration") -> None:
+    """Add rounds to a history. Each (run, iteration) is a folder that its rows replace, so a round that is appended again,
+    by a retry or a rerun, is there once; other rounds stay as they are."""
+    keys = [*run, iteration]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def best_features_lines(best: DataFrame) -> DataFrame:
