@@ -244,24 +244,41 @@ META_COLUMNS = ("task_id", "ZONEID", "TIMESTAMP")
 def build_baseline_features(
     df: DataFrame, s: Series, stations: Sequence[str], target: str = "LOAD"
 ) -> DataFrame:
-    """The 17 manual features: one row-wise select, then one window of 168 rows look-back."""
+    """The 17 manual features: one row-wise select, then one window of 168 rows look-back.
+
+    The statistics of 168 rows are put together from those of 24: a frame of a week is seven frames of a day, each looked up
+    at its last row. So a row costs a frame of 24 rows and six lags instead of 168 updates, and no difference
+    of running sums loses digits.
+    """
     plain = {**baseline_columns(s.ts), "temp": F.col(stations[0])}
     rows = add_across(df.select("*", *[c.alias(n) for n, c in plain.items()]), stations)
+    ends = range(24, 168, 24)
+
+    def days(w: WindowSpec) -> dict[str, Column]:
+        day = w.rowsBetween(-23, 0)
+        return {
+            "rolling_std_24_load": STATS["std"](target, day),
+            "rolling_mean_24_temp": F.avg("temp_mean").over(day),
+            "__sum": F.sum(F.col(target).cast("double")).over(day),
+            "__n": F.count(target).over(day),
+        }
+
+    def weeks(w: WindowSpec) -> dict[str, Column]:
+        def week(c: str) -> Column:
+            return sum((F.coalesce(F.lag(c, k).over(w), F.lit(0)) for k in ends), F.coalesce(F.col(c), F.lit(0)))
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        day, week = w.rowsBetween(-23, 0), w.rowsBetween(-167, 0)
         return {
             "lag_1": F.lag(target, 1).over(w),
             "lag_24": F.lag(target, 24).over(w),
             "lag_168": F.lag(target, 168).over(w),
             "temp_lag_24": F.lag("temp", 24).over(w),
-            "rolling_mean_24_load": F.avg(target).over(day),
-            "rolling_std_24_load": STATS["std"](target, day),
-            "rolling_mean_168_load": F.avg(target).over(week),
-            "rolling_mean_24_temp": F.avg("temp_mean").over(day),
+            "rolling_mean_24_load": F.try_divide("__sum", "__n"),
+            "rolling_std_24_load": F.col("rolling_std_24_load"),
+            "rolling_mean_168_load": F.try_divide(week("__sum"), week("__n")),
+            "rolling_mean_24_temp": F.col("rolling_mean_24_temp"),
         }
 
-    out = windowed(rows, s, build, before=168)
+    out = windowed(rows, s, days, before=168, then=weeks)
     return out.select(*df.columns, *BASELINE_FEATURES)
 
 

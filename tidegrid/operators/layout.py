@@ -110,12 +110,14 @@ def windowed(
     before: int = 0,
     after: int = 0,
     pos: str | None = None,
+    then: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Append window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``build`` receives the ordered window and returns the new columns by name. The window is
     cut into chunks; rows near a border are copied to the neighbour chunk and dropped afterwards.
-    Rows without a position get NULL.
+    Rows without a position get NULL. ``then`` builds from these columns, over the same window and without
+    another shuffle, the columns that are returned in their place; both steps together look ``before`` rows back.
     """
     own = pos is None
     if own:
@@ -138,6 +140,8 @@ def windowed(
         spread = df.withColumn(HOME, home).withColumn(CHUNK, F.col(HOME))
     window = Window.partitionBy(*s.keys, CHUNK).orderBy(pos)
     added = build(window)
+    if then is not None:
+        spread, added = spread.select("*", *[c.alias(n) for n, c in added.items()]), then(window)
     kept = [c for c in columns if c not in added and not (own and c == POS)]
     return (
         spread.select(*kept, HOME, CHUNK, *[F.when(F.col(pos).isNotNull(), c).alias(n) for n, c in added.items()])
