@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -124,6 +125,22 @@ def test_blocks_equal_the_plain_rule(spark, chunk):
         assert got == expected
 
 
+def test_lines_move_once_and_after_the_recovery(spark, tmp_path):
+    """Where no summary may be broadcast, only the join of lines and times moves more than timestamps."""
+    (tmp_path / "L1-train.csv").write_text("ZONEID,TIMESTAMP,LOAD,w1\n1,912010 1:00,5,2\n1,912010 2:00,6,3\n")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = csv_tasks.scan_train_csv(spark, f"{tmp_path}/L1-train.csv", ["w1"])
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: (\w+)\((\w+)#", plan)
+        assert len(moved) > 3
+        assert [key for columns, _, key in moved if {"LOAD", "w1"} & {c.split("#")[0] for c in columns.split(", ")}] == ["__id"]
+        assert out.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_training_file_over_many_splits(spark, tmp_path):
     """Splits of a few kilobytes: line numbers and times must not depend on them."""
     start = datetime(2010, 9, 1)

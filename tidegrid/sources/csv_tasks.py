@@ -23,16 +23,14 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """All-text CSV rows with ``task_id`` and ``pos``, the exact line number within the task.
+LINE = ("__file", "__block", "__id")  # where a line comes from: file, start of the split in it, increasing id
 
-    A split of a file is read by one task from front to back, so the line number is the
-    position inside the split plus the row counts of the splits before. Only one summary row
-    per split is moved; the rows stay where they were read.
-    """
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """All-text CSV rows with ``task_id`` and the columns of ``LINE``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     task = F.coalesce(F.regexp_extract("_metadata.file_path", TASK_PATTERN, 1).try_cast("int"), F.lit(0))
-    raw = (
+    return (
         spark.read.schema(_text_schema(names))
         .option("header", True)
         .option("mode", "PERMISSIVE")
@@ -45,8 +43,17 @@ def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], names: S
             F.monotonically_increasing_id().alias("__id"),
         )
     )
+
+
+def number_lines(lines: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """``task_id``, ``names``, ``__id`` and ``pos``, the exact line number within the task, of the rows of ``read_lines``.
+
+    A split of a file is read by one task from front to back, so the line number is the position inside the split plus
+    the row counts of the splits before. The summary has one row per split; where it is too large to be broadcast, the
+    columns named here are what moves, so name only those that the order is needed for.
+    """
     # The parts of a file written as a folder follow each other by name.
-    splits = raw.groupBy("task_id", "__file", "__block").agg(
+    splits = lines.groupBy("task_id", "__file", "__block").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")
     )
     earlier = (
@@ -55,11 +62,17 @@ def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], names: S
     starts = splits.select(
         "__file", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
-    return raw.join(starts, ["__file", "__block"]).select(
-        "task_id", *names, (F.col("__before") + F.col("__id") - F.col("__first")).alias("pos")
+    thin = lines.select("task_id", *names, *LINE)
+    return thin.join(starts, ["__file", "__block"]).select(
+        "task_id", *names, "__id", (F.col("__before") + F.col("__id") - F.col("__first")).alias("pos")
     )
 
 
+def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """All-text CSV rows with ``task_id`` and ``pos``, the exact line number within the task."""
+    return number_lines(read_lines(spark, paths, names), names).drop("__id")
+
+
 def scan_train_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -82,10 +95,12 @@ def scan_quarantine(
 
 def _resolved(spark, paths, stations, chunk) -> DataFrame:
     names = ["ZONEID", "TIMESTAMP", "LOAD", *stations]
-    # The text is parsed once; the passes of the recovery then read only the columns they need.
-    rows = add_candidates(materialize(read_in_file_order(spark, paths, names), "lines"), "TIMESTAMP", seconds=True)
-    s = Series(keys=("task_id",), chunk=chunk)
-    timed = resolve_blocks(rows, s)
+    # The text is parsed once. Numbering and recovery read the timestamps only; the other columns move once, by line,
+    # when every line has its time.
+    lines = materialize(read_lines(spark, paths, names), "lines")
+    dated = add_candidates(number_lines(lines, ["TIMESTAMP"]), "TIMESTAMP", seconds=True)
+    times = resolve_blocks(dated, Series(keys=("task_id",), chunk=chunk)).select("__id", "ts")
+    timed = lines.join(times, "__id")
     return timed.select(
         "task_id",
         "ts",
