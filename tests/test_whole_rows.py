@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import LOOSE, SMALL
 from tidegrid.operators.clean import fill_forward, fill_interpolate
 from tidegrid.operators.features import generate_lag_features, generate_rolling_features
+from tidegrid.operators.layout import Series, chunk_of, fitted, index_rows, slot_of
 from tidegrid.operators.scale import fit_scaler
 from tidegrid.operators.split import split_timeseries
 
@@ -75,3 +76,18 @@ def test_scratch_tables_go_with_their_scope(spark):
         path = Path(inner.inputFiles()[0].removeprefix("file://")).parent
         assert inner.count() == 3 and path.exists()
     assert not path.exists() and kept.count() == 3
+
+
+def test_chunks_of_data_denser_than_the_step(spark):
+    """Second by second, in bursts, or all at once: chunks stay small as long as times can be told apart, numbers are exact."""
+    s = Series(keys=("k",), step=3600, chunk=500)
+    dense = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("at"))
+    burst = spark.range(6_000).select(F.lit(2).alias("k"), F.when(F.col("id") < 5_000, F.floor(F.col("id") / 50)).otherwise(F.col("id") * 3600).alias("at"))
+    df = dense.unionByName(burst).select("k", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "at")
+    finer = fitted(df, s)
+    sizes = df.groupBy("k", chunk_of(slot_of(finer), finer.chunk).alias("c")).count().agg(F.max("count")).first()[0]
+    assert sizes <= 1000 < 20_000 and finer.step < s.step
+    numbered = index_rows(df, finer, "n").where("k = 1")
+    assert numbered.count() == numbered.where("n = at").count() == 20_000
+    once = df.withColumn("ts", F.lit("2020-01-01").cast("timestamp_ntz"))
+    assert fitted(once, s) == s and fitted(df.where("false"), s) == s

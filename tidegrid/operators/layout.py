@@ -14,7 +14,7 @@ fixed number of consecutive positions:
 
 A series has at most one row per time step (plus a few duplicates), therefore a chunk never
 holds more than about ``chunk`` rows, however the rows are spread over series. ``step`` has to
-fit the data: readings much denser than the step make chunks that much larger.
+fit the data: readings much denser than the step make chunks that much larger, unless ``fitted`` makes it finer.
 
 No row is lost: rows whose key is NULL are a series of their own (keys are joined as one struct,
 in which NULL equals NULL), and rows without a time have no position, get NULL for everything
@@ -50,7 +50,7 @@ class Series:
 
     keys: tuple[str, ...] = ("series",)
     ts: str = "ts"
-    step: int = 3600
+    step: float = 3600
     chunk: int = 65536
     complete: bool = False
     ties: tuple[str, ...] = ()
@@ -63,6 +63,21 @@ def slot_of(s: Series) -> Column:
     return F.floor(epoch_seconds(s.ts) / F.lit(s.step))
 
 
+def fitted(df: DataFrame, s: Series) -> Series:
+    """``s`` with a step so fine that no chunk of ``df`` holds more than twice ``chunk`` rows, whatever their density.
+
+    Each look is one aggregate of keys and times. Rows of one instant can't be told apart by time; where only such rows
+    are left in the fullest chunk, the step stays. The result numbers rows and cuts windows; its grid isn't complete.
+    """
+    while True:
+        chunks = df.where(F.col(s.ts).isNotNull()).groupBy(*s.keys, chunk_of(slot_of(s), s.chunk).alias(CHUNK))
+        size = chunks.agg(F.count(F.lit(1)).alias("n"), (F.max(s.ts) > F.min(s.ts)).alias("wide"))
+        fullest = size.agg(F.max(F.struct("n", "wide")).alias("x")).select("x.*").first()
+        if fullest.n is None or fullest.n <= 2 * s.chunk or not fullest.wide or s.step * s.chunk <= 1:
+            return s
+        s = replace(s, step=s.step * s.chunk / fullest.n, complete=False)
+
+
 def chunk_of(pos: Column | str, size: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(size))
