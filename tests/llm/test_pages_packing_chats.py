@@ -19,7 +19,12 @@ LONG = "This is the text of the article and it is as long as a paragraph of an a
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are absent")
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_preference_format", "op7_url_filter"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "op2_line_dedup", "op4_preference_format", "op4_preference_all", "op7_url_filter", "op11_importance_resampling", "op12_conversation_repair", "op13_secret_scan",
+    ],
+)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -94,6 +99,27 @@ def check_bins(rows, capacity, per_source):
     return bins
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_every_place_is_the_best_fit(seed):
+    """All bins are looked through at every step: the tightest that fits is taken, a new one only where none does."""
+    rng = random.Random(seed)
+    capacity, share = rng.choice([(20, 2), (100, 3), (64, 1)])
+    bins, plain = Bins(capacity, share), []  # a plain bin: words left, sources, clusters
+    for _ in range(600):
+        size, source, cluster = rng.randint(1, capacity), rng.randrange(4), rng.choice([-1, -1, 0, 1, 2])
+        fits = [b for b, (left, sources, clusters) in enumerate(plain) if left >= size and sources.count(source) < share and (cluster < 0 or cluster not in clusters)]
+        b, offset = bins.place(size, source, cluster)
+        if fits:
+            assert b in fits and plain[b][0] == min(plain[x][0] for x in fits)
+        else:
+            assert b == len(plain)
+            plain.append([capacity, [], []])
+        assert offset == capacity - plain[b][0]
+        plain[b][0] -= size
+        plain[b][1].append(source)
+        plain[b][2] += [cluster] if cluster >= 0 else []
+
+
 def test_packing_is_whole_and_without_conflicts(spark):
     rng = random.Random(5)
     copy = prose(rng, 40)

@@ -13,7 +13,7 @@ from tests.llm.helpers import DOCS, distance_to_part, prose
 from tidegrid.llm import queries, toxicity
 from tidegrid.llm.decontaminate import Matcher, find_leaks, myers, normalise, without_leaks
 from tidegrid.llm.language_id import LanguageModel, codewords, feature_shares, fit_language_model, identify
-from tidegrid.llm.lz_fingerprint import Parser, edited, fingerprints, likeness, neighbour_likeness, text_fingerprint
+from tidegrid.llm.lz_fingerprint import FACTORS, HASHES, SHIFTS, Parser, edited, fingerprints, likeness, neighbour_likeness, text_fingerprint
 from tidegrid.llm.toxicity import ToxicityModel, fit_toxicity, label_model, score_toxicity, without_toxic
 
 SF = "/root/testdata/sf0.01"
@@ -215,6 +215,58 @@ def test_parser_continues_where_it_stopped():
     assert all(p[:-1] == "" or p[:-1] in phrases[:i] for i, p in enumerate(phrases))
 
 
+def plain_fingerprint(text):
+    """Phrases as strings, their polynomials and minima in whole numbers, one hash function after the other."""
+    mask, mix, phrases, cur = (1 << 64) - 1, 0xD6E8FEB86659FD93, set(), ""
+    for ch in text:
+        cur += ch
+        if cur not in phrases:
+            phrases.add(cur)
+            cur = ""
+    phrases |= {cur} - {""}
+    if not phrases:
+        return [0] * HASHES
+    values = []
+    for phrase in phrases:
+        h = sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(phrase)) & mask
+        h = (h ^ (h >> 32)) * mix & mask
+        values.append(h ^ (h >> 29))
+    minima = [min((h * int(f) + int(s)) & mask for h in values) for f, s in zip(FACTORS, SHIFTS, strict=True)]
+    return [(m * mix & mask) >> 48 for m in minima]
+
+
+def test_fingerprints_against_plain_minima():
+    rng = random.Random(3)
+    for text in ("", "a", "aaaa", "é漢😀 é漢😀", prose(rng, 60), prose(rng, 3) * 30):
+        assert text_fingerprint(text).tolist() == plain_fingerprint(text)
+    a, b = plain_fingerprint(prose(rng, 80)), plain_fingerprint(prose(rng, 80))
+    share = sum(x == y for x, y in zip(a, b, strict=True)) / HASHES
+    assert likeness(np.array(a, np.uint16), np.array(b, np.uint16)) == pytest.approx(max(0.0, (share - 2**-16) / (1 - 2**-16)))
+
+
+def test_label_model_against_plain_updates():
+    """Posteriors of independent voters by the definition, row by row and voter by voter."""
+    rng = np.random.default_rng(6)
+    votes = (rng.random((60, 4)) < [0.5, 0.3, 0.6, 0.2]).astype(float)
+    gold = (votes[:, 0] + votes[:, 2] > 1).astype(float)
+    hit = [(votes[gold == 1, j].sum() + 0.5) / (gold.sum() + 1) for j in range(4)]
+    miss = [(votes[gold == 0, j].sum() + 0.5) / ((1 - gold).sum() + 1) for j in range(4)]
+    rate, hit0, miss0 = gold.mean(), hit, miss
+    for _ in range(3):
+        q = []
+        for row in votes:
+            one, none = rate, 1 - rate
+            for j, v in enumerate(row):
+                one *= hit[j] if v else 1 - hit[j]
+                none *= miss[j] if v else 1 - miss[j]
+            q.append(one / (one + none))
+        hit = [min(max((sum(p * r[j] for p, r in zip(q, votes)) + 20 * hit0[j]) / (sum(q) + 20), 1e-4), 1 - 1e-4) for j in range(4)]
+        miss = [min(max((sum((1 - p) * r[j] for p, r in zip(q, votes)) + 20 * miss0[j]) / (60 - sum(q) + 20), 1e-5), 1 - 1e-4) for j in range(4)]
+        rate = min(max(sum(q) / 60, 1e-3), 0.9)
+    _, voters = label_model(votes, gold, rounds=3)
+    assert np.allclose(voters, list(zip(hit, miss, strict=True)))
+
+
 def test_fingerprints_follow_likeness():
     rng = random.Random(2)
     a = prose(rng, 400)
