@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, brute_components, distance_to_part, dropped_lines, near_copies, prose
+from tidegrid import session
+from tidegrid.llm import common
 from tidegrid.llm.decontaminate import normalise
 from tidegrid.llm.queries import toxicity_model
-from tidegrid.session import scratch_scope, shared_dir
 
 BAD = ("idiot", "moron", "scum", "loser", "pathetic", "worthless")
 
@@ -109,17 +110,22 @@ def test_columns_of_the_caller_stay_and_stages_chain_without_a_write(spark, corp
     assert corpus_pipeline.packing(spark, wide, folder).count() >= len(got)
 
 
-def test_runs_clear_what_stages_leave(spark, corpus):
+def test_runs_clear_what_stages_leave(spark, corpus, monkeypatch):
+    """Other processes may use the shared folder, so only paths that this one makes are looked at."""
     folder, _, _ = corpus
-    with scratch_scope(spark):
-        here = Path(shared_dir(spark))
-        before = set(here.iterdir()) if here.exists() else set()
-        out = corpus_pipeline.run(spark, folder)
-        again = corpus_pipeline.run(spark, folder)
+    made, path_of = [], session.scratch_path
+
+    def noted(spark, name):
+        made.append(path_of(spark, name))
+        return made[-1]
+
+    monkeypatch.setattr(common, "scratch_path", noted)
+    with session.scratch_scope(spark):
+        out, again = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
         assert out.count() == again.count() > 0
-        left = set(here.iterdir()) - before
-        assert {p.name.split("-")[0] for p in left} == {"corpus"} and len(left) == 2
-    assert not set(here.iterdir()) - before
+        left = [p for p in map(Path, made) if p.exists()]
+        assert len(made) > 8 and len(left) == 2 and all(p.name.startswith("corpus-") for p in left)
+    assert not any(Path(p).exists() for p in made)
 
 
 def test_empty_tables(spark, tmp_path):
