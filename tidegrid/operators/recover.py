@@ -13,6 +13,7 @@ from tidegrid.functions.epoch import from_epoch
 from tidegrid.operators.layout import Series, carry, join_by_series, windowed
 
 MARGIN_DAYS = 365  # how far the range of certain rows is widened on either side
+READINGS = 4  # a text is cut before a year of four or two digits and after a month of one or two
 
 
 def unambiguous_range(df: DataFrame, keys: tuple[str, ...], cands: str = "cands") -> DataFrame:
@@ -27,59 +28,54 @@ def unambiguous_range(df: DataFrame, keys: tuple[str, ...], cands: str = "cands"
     )
 
 
-def resolve_blocks(df: DataFrame, s: Series, pos: str = "pos", cands: str = "cands") -> DataFrame:
+def resolve_blocks(df: DataFrame, s: Series, pos: str = "pos", cands: str = "cands", most: int = READINGS) -> DataFrame:
     """Add ``ts``: one reading per row, chosen for whole blocks of ambiguous rows.
 
-    ``cands`` holds the readings in seconds. A block is a run of neighbouring rows with the same
-    number (> 1) of readings. Its first and last row and the certain rows around it are looked
-    up by forward and backward carries, so each row computes the choice of its block on its own:
-    no group holds a block, which may be arbitrarily long.
+    ``cands`` holds the readings in seconds, at most ``most`` of them (more end the job). A block is a run of
+    neighbouring rows with the same number (> 1) of readings. The readings of its first and last row and the certain
+    rows around it are looked up by forward and backward carries, so each row computes the choice of its block on
+    its own: no group holds a block, which may be arbitrarily long. Readings travel as single numbers, not as arrays:
+    those are combined by hashing and need no sort.
     """
-    n = F.col("__n")
+    size = F.size(cands)
+    n, readings = F.col("__n"), range(most)
+    too_many = F.raise_error(F.lit(f"more than {most} readings")).cast("int")
     marked = windowed(
-        df.withColumn("__n", F.size(cands)),
+        df.withColumn("__n", F.when(size > most, too_many).otherwise(size)),
         s,
         lambda w: {"__prev_n": F.lag("__n", 1).over(w), "__next_n": F.lead("__n", 1).over(w)},
         before=1,
         after=1,
         pos=pos,
     )
-    starts = F.coalesce(F.col("__prev_n") != n, F.lit(True))
-    ends = F.coalesce(F.col("__next_n") != n, F.lit(True))
-    certain = F.when(n == 1, F.col(cands)[0])
+    starts = (n > 1) & F.coalesce(F.col("__prev_n") != n, F.lit(True))
+    ends = (n > 1) & F.coalesce(F.col("__next_n") != n, F.lit(True))
+    at = [F.get(F.col(cands), F.lit(i)) for i in readings]
+    certain = F.when(n == 1, at[0])
     placed = carry(
         marked,
         s,
         pos,
-        forward={"__first": F.when((n > 1) & starts, F.col(cands)), "__low": certain},
-        backward={"__last": F.when((n > 1) & ends, F.col(cands)), "__high": certain},
-    )
-    # Without any certain row in a series there is no range, and rows take their first reading.
-    # Then neither carry finds an anchor, every gap is 0, and the first reading wins as well.
-    k = best_index("__first", "__last", "__low", "__high")
-    no_anchor = F.col("__low").isNull() & F.col("__high").isNull()
-    chosen = (
-        F.when(n == 1, F.col(cands)[0])
-        .when((n > 1) & no_anchor, F.col(cands)[0])
-        .when(n > 1, F.element_at(F.col(cands), k + 1))
+        forward={"__low": certain, **{f"__first_{i}": F.when(starts, at[i]) for i in readings}},
+        backward={"__high": certain, **{f"__last_{i}": F.when(ends, at[i]) for i in readings}},
     )
+    # Rows of a block have as many readings as its ends, so what older blocks left behind an end's last reading isn't looked at.
+    # Without any certain row in a series there is no range, and rows take their first reading:
+    # neither carry finds an anchor, every gap is 0, and the first reading wins.
+    gaps = F.array(*[F.when(n > i, _gap(F.col(f"__first_{i}"), F.col(f"__last_{i}"), i)) for i in readings])
+    chosen = F.when(n == 1, at[0]).when(n > 1, F.get(F.col(cands), F.array_min(gaps)["k"]))
     return placed.select(*df.columns, chosen.alias("__seconds")).select(
         *df.columns, from_epoch(F.col("__seconds")).alias(s.ts)
     )
 
 
-def best_index(first: str, last: str, low: str, high: str) -> Column:
-    """Index of the reading with the smallest gap to the certain rows before and after."""
-    f, z, lo, hi = F.col(first), F.col(last), F.col(low), F.col(high)
-
-    def gap(c: Column, i: Column) -> Column:
-        head = F.coalesce(c - lo, F.lit(0))
-        tail = F.coalesce(hi - F.get(z, i), F.lit(0))
-        broken = F.when((head < 0) | (tail < 0), 1).otherwise(0)
-        # All readings that break the order are equally bad; the earlier one wins.
-        return F.struct(broken.alias("broken"), F.when(broken == 0, head + tail).alias("gap"), i.alias("k"))
-
-    return F.array_min(F.transform(f, gap))["k"]
+def _gap(first: Column, last: Column, k: int) -> Column:
+    """How well reading ``k`` of a block fits between the certain rows before and after; the smallest fits best."""
+    head = F.coalesce(first - F.col("__low"), F.lit(0))
+    tail = F.coalesce(F.col("__high") - last, F.lit(0))
+    broken = F.when((head < 0) | (tail < 0), 1).otherwise(0)
+    # All readings that break the order are equally bad; the earlier one wins.
+    return F.struct(broken.alias("broken"), F.when(broken == 0, head + tail).alias("gap"), F.lit(k).alias("k"))
 
 
 def parse_rowwise(df: DataFrame, ranges: DataFrame, s: Series, cands: str = "cands") -> DataFrame:
