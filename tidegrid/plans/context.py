@@ -9,16 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.operators.layout import Series, join_by_series
-from tidegrid.operators.profile import (
-    acf,
-    importance_bottom,
-    importance_top,
-    indexed_target,
-    sampling_frequency,
-    seasonality,
-    target_stats,
-    trend,
-)
+from tidegrid.operators.profile import importance_bottom, importance_top, series_profile
 
 # Thresholds of the proposal strategy (fixed), how many features one round adds at most, and how many of
 # the most important ones are crossed with each other. These limits are part of the strategy.
@@ -43,22 +34,7 @@ def dataset_profile(
 ) -> DataFrame:
     """One row per series: size, frequency, target statistics, ACF map, trend, season, features,
     strongest and weakest features, current metrics."""
-    keys = list(s.keys)
-    indexed = indexed_target(df, s, target)
-    acf_rows = acf(indexed, s, target)
-    acf_map = acf_rows.groupBy(*keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("lag", "acf")))).alias("acf_summary")
-    )
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
-    out = counts
-    for part in (
-        sampling_frequency(df, s).drop("n_steps"),
-        target_stats(df, keys, target).drop("n"),
-        acf_map,
-        trend(indexed, s, target).drop("relative_change"),
-        seasonality(acf_rows, keys),
-    ):
-        out = out.join(part, keys, "left")
+    out = series_profile(df, s, target)
     brief = "array<struct<feature:string,gain:double,norm_pct:double>>"
     parts = []
     for label, pick in (("top10_features", importance_top), ("bottom10_features", importance_bottom)):
