@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics, profile
 from tidegrid.operators.features import apply_recipes, lag_recipes
+from tidegrid.operators.layout import Series
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.plans.context import dataset_profile, history_summary, iteration_context, propose_features
 from tidegrid.sources import sinks
@@ -147,6 +149,31 @@ def test_dataset_profile(spark, hourly):
     assert len(row["top10_features"]) == 10 and row["val_metrics"] == {"RMSE": 8.53}
 
 
+def test_dataset_profile_equals_its_parts_for_every_series(spark):
+    """A series without a key, one of five rows, one without values and one with holes and a row without a time."""
+    rng, start = np.random.default_rng(3), datetime(2020, 1, 1)
+    rows = [(None, start + timedelta(hours=h), float(rng.normal(50, 5) + h / 10)) for h in range(120)]
+    rows += [(1, start + timedelta(hours=h), float(h)) for h in range(5)]
+    rows += [(2, start + timedelta(hours=h), None) for h in range(4)]
+    rows += [(3, start + timedelta(minutes=30 * h), None if h % 7 == 3 else float(rng.normal(9, 1))) for h in range(200)] + [(3, None, 4.0)]
+    df = spark.createDataFrame(rows, "series int, ts timestamp_ntz, LOAD double")
+    s = Series(chunk=50)
+    got = {r["series"]: r for r in dataset_profile(df, s, "LOAD", []).collect()}
+    assert {k: r["n_samples"] for k, r in got.items()} == {None: 120, 1: 5, 2: 4, 3: 201}
+    indexed = profile.indexed_target(df, s, "LOAD")
+    lags = profile.acf(indexed, s, "LOAD")
+    for part in (profile.sampling_frequency(df, s).drop("n_steps"), profile.target_stats(df, ["series"], "LOAD").drop("n"),
+                 profile.trend(indexed, s, "LOAD").drop("relative_change"), profile.seasonality(lags, ["series"])):
+        for r in part.collect():
+            whole = got[r["series"]]
+            for c in part.columns[1:]:
+                close = r[c] is not None and isinstance(r[c], float)
+                assert whole[c] == (pytest.approx(r[c]) if close else r[c]), (r["series"], c)
+    for key in (None, 1, 3):
+        assert got[key]["acf_summary"] == {r["lag"]: r["acf"] for r in lags.where(F.col("series").eqNullSafe(F.lit(key))).collect()}
+    assert (got[2]["acf_summary"], got[2]["target_mean"], got[2]["target_cv"], got[2]["frequency"]) == (None, None, 0.0, "60 minutes")
+
+
 def test_proposals_follow_the_rules(spark):
     rows = spark.createDataFrame([(0, 12, -0.6), (0, 23, 0.9), (0, 48, 0.7), (0, 168, 0.55)], "scope int, lag int, acf double")
     top = spark.createDataFrame([(0, 1, "temp"), (0, 2, "lag_1"), (0, 3, "hour")], "scope int, rank int, feature string")

@@ -125,6 +125,20 @@ def test_blocks_equal_the_plain_rule(spark, chunk):
         assert got == expected
 
 
+def test_blocks_need_no_sorting_aggregates(spark):
+    df = add_candidates(spark.createDataFrame([(1, 0, "112001 1:00")], "series int, pos long, raw string"), "raw", seconds=True)
+    plan = spark._jvm.PythonSQLUtils.explainString(resolve_blocks(df, Series())._jdf.queryExecution(), "formatted")
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_readings_beyond_the_format_end_the_job(spark):
+    df = spark.createDataFrame([(1, p, list(range(0, 3600 * n, 3600))) for p, n in enumerate((1, 5, 1))], "series int, pos long, cands array<bigint>")
+    with pytest.raises(Exception, match="more than 4 readings"):
+        resolve_blocks(df, Series()).collect()
+    # five readings are allowed here; the block fits best between its neighbours with the first
+    assert [r["ts"].hour for r in resolve_blocks(df, Series(), most=5).orderBy("pos").collect()] == [0, 0, 0]
+
+
 def test_lines_move_once_and_after_the_recovery(spark, tmp_path):
     """Where no summary may be broadcast, only the join of lines and times moves more than timestamps."""
     (tmp_path / "L1-train.csv").write_text("ZONEID,TIMESTAMP,LOAD,w1\n1,912010 1:00,5,2\n1,912010 2:00,6,3\n")
