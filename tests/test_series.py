@@ -9,6 +9,7 @@ from conftest import LOOSE, SMALL, frame, pandas_of
 from pyspark.sql import functions as F
 
 from tidegrid.operators import clean, features, samples, scale, split
+from tidegrid.operators.grid import regularize
 from tidegrid.operators.layout import Series, carry, index_rows, join_by_series, positions, windowed
 
 
@@ -230,3 +231,18 @@ def test_join_by_series_keeps_every_row(spark):
     out = join_by_series(big, stats, ["series"])
     assert out.columns == ["series", "id", "name"] and out.count() == 1000
     assert {(r["series"], r["name"]) for r in out.select("series", "name").distinct().collect()} == {(0, "a"), (1, None), (None, "n")}
+
+
+def test_absent_steps_are_made_behind_the_last_shuffle(spark):
+    """Chunk borders, a NULL key, readings of one step, and rows without a time; only known steps and chunk ends move."""
+    readings = spark.sql("""SELECT * FROM VALUES ('a', timestamp_ntz'2020-01-01 05:10', 1L), ('a', timestamp_ntz'2020-01-01 05:50', 2L),
+        ('a', timestamp_ntz'2020-01-20 07:00', 3L), (NULL, timestamp_ntz'2020-01-03 00:00', 4L), ('b', NULL, 5L), ('a', NULL, 6L) AS t(series, ts, v)""")
+    out = regularize(readings, SMALL, {"v": F.sum("v"), "n": F.max("v")}, ("v",))
+    got = {(r.series, r.ts): (r.v, r.n) for r in out.collect()}
+    at = lambda day, hour: pd.Timestamp(2020, 1, day, hour).to_pydatetime()
+    steps = pd.date_range(at(1, 5), at(20, 7), freq="h")
+    known = {("a", at(1, 5)): (3, 2), ("a", at(20, 7)): (3, 3), (None, at(3, 0)): (4, 4), ("b", None): (5, 5), ("a", None): (6, 6)}
+    assert out.count() == len(got) == len(steps) + 3
+    assert got == {("a", t.to_pydatetime()): (None, None) for t in steps} | known
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert plan.index("Generate explode(__steps") < plan.index("Exchange")
