@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.functions import arrays
+from tidegrid.functions import arrays, batches
 from tidegrid.functions.arithmetic import acf_bar
 
 
@@ -63,3 +63,36 @@ def test_channels_have_their_own_statistics_and_affine(spark):
     got = df.select(arrays.channel_patches(F.col("x"), 3, 24, 4, 2).alias("p")).first()["p"]
     padded = np.vstack([x, np.zeros((2, 3))])
     assert np.array(got).shape == (3, 12, 4) and all(got[c][k] == padded[2 * k : 2 * k + 4, c].tolist() for c in range(3) for k in range(12))
+
+
+def test_batches_do_what_arrays_do(spark):
+    """Batches of samples against the functions on one array a row; a NULL step makes that channel's results NULL."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 2, (7, 24, 2)).tolist()
+    x[3][10][1] = None
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, x array<array<double>>")
+    seq = lambda j: arrays.channel(F.col("x"), j)
+    weigh = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    stats = lambda j, last: arrays.instance_stats(seq(j), last)
+    want = df.select("id", *[c for j in (0, 1) for c in (
+        weigh(arrays.normalize(seq(j), stats(j, False), 1.5, 0.25)).alias(f"mean{j}"), weigh(arrays.normalize(seq(j), stats(j, True), 1.5, 0.25)).alias(f"last{j}"),
+        weigh(arrays.denormalize(arrays.normalize(seq(j), stats(j, False), 1.5, 0.25), stats(j, False), 1.5, 0.25)).alias(f"back{j}"),
+        weigh(F.flatten(arrays.patches(seq(j), 24, 4, 2))).alias(f"patch{j}"),
+    )])
+
+    def build(batch, x):
+        out = {"id": batch.column("id")}
+        for j in (0, 1):
+            v = batches.channel(x, j)
+            mean, last = batches.instance_stats(v), batches.instance_stats(v, subtract_last=True)
+            normal = batches.normalize(v, mean, 1.5, 0.25)
+            out |= {f"mean{j}": batches.weighted_sum(normal), f"last{j}": batches.weighted_sum(batches.normalize(v, last, 1.5, 0.25))}
+            out |= {f"back{j}": batches.weighted_sum(batches.denormalize(normal, mean, 1.5, 0.25))}
+            out[f"patch{j}"] = batches.weighted_sum(batches.patches(v, 24, 4, 2).reshape(len(v), -1))
+        return out
+
+    got = batches.of_samples(df, build, want.schema.simpleString()[7:-1].replace(":", " "))
+    for a, b in zip(got.orderBy("id").collect(), want.orderBy("id").collect(), strict=True):
+        assert [v is None for v in a] == [v is None for v in b]
+        assert a == pytest.approx(tuple(b), abs=1e-9)
+    assert got.where("mean1 IS NULL").count() == 1
