@@ -246,3 +246,18 @@ def test_absent_steps_are_made_behind_the_last_shuffle(spark):
     assert got == {("a", t.to_pydatetime()): (None, None) for t in steps} | known
     plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
     assert plan.index("Generate explode(__steps") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize(("gap", "n"), [(0, 100), (3, 100), (2, 4), (0, 1)])
+def test_parts_cut_at_times_are_those_of_row_numbers(spark, gap, n):
+    """Holes, a NULL key, rows without a time and series too short for every part; the other columns aren't numbered."""
+    rows = spark.range(3 * n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("series"), (F.lit("2020-01-01").cast("timestamp_ntz")
+        + F.make_dt_interval(hours=(F.col("id") * 7).cast("int"))).alias("ts"), F.col("id").cast("double").alias("LOAD"))
+    df = rows.unionByName(rows.limit(2).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    by_number = split.split_timeseries(df, LOOSE, gap=gap)
+    by_time = split.split_timeseries(df, LOOSE, gap=gap, by_time=True)
+    key = lambda r: (r.series or 0, r.LOAD, str(r.ts))
+    assert sorted(by_time.collect(), key=key) == sorted(by_number.collect(), key=key)
+    plan = by_time.groupBy("split").agg(F.sum("LOAD"))._jdf.queryExecution().executedPlan().toString()
+    numbering = [x for x in plan.splitlines() if "Window [row_number()" in x]
+    assert numbering and not any("LOAD" in x for x in numbering)
