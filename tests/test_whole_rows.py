@@ -11,6 +11,7 @@ from tidegrid.operators.features import generate_lag_features, generate_rolling_
 from tidegrid.operators.layout import Series, chunk_of, fitted, index_rows, slot_of
 from tidegrid.operators.scale import fit_scaler
 from tidegrid.operators.split import split_timeseries
+from tidegrid.session import configure
 
 SCHEMA = "series string, ts timestamp_ntz, LOAD double"
 
@@ -91,3 +92,14 @@ def test_chunks_of_data_denser_than_the_step(spark):
     assert numbered.count() == numbered.where("n = at").count() == 20_000
     once = df.withColumn("ts", F.lit("2020-01-01").cast("timestamp_ntz"))
     assert fitted(once, s) == s and fitted(df.where("false"), s) == s
+
+
+@pytest.mark.parametrize(("partitions", "first"), [("4", 200), ("300", 300)])
+def test_shuffles_begin_with_many_partitions(spark, partitions, first):
+    """A task's share doesn't depend on a small number of shuffle partitions; a larger one is kept."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", partitions)
+    configure(other)
+    df = other.range(100).selectExpr("id % 3 AS series", "timestamp_ntz '2020-01-01' + make_dt_interval(0, int(id)) AS ts", "if(id % 5 = 0, null, double(id)) AS LOAD")
+    plan = fill_interpolate(df, SMALL, ["LOAD"])._jdf.queryExecution().executedPlan().toString()
+    assert f", {first})" in plan and ", 4)" not in plan
