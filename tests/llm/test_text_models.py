@@ -311,3 +311,20 @@ def test_model_is_sent_without_its_automaton():
     model = ToxicityModel([(1, "=x"), (2, "abcd")], np.zeros(2 + 4 + 4 + 3 + 2))
     model.score(["x abcde"])
     assert "_automaton" not in model.__getstate__()
+
+
+def test_an_edit_is_parsed_and_hashed_behind_its_stem_only(monkeypatch):
+    """A text and its edited form share what the edit leaves: it is parsed and hashed once, with the same result."""
+    from tidegrid.llm import lz_fingerprint
+
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "ab", "aaa", "aaaaaaaa", "\U0001f600" * 9 + "x", *("".join(rng.choice(list("abc d"), n)) for n in (3, 50, 900, 1500))]
+    other = "".join(rng.choice(list("xya "), 700))
+    for text in texts:
+        stem, changed = lz_fingerprint.Stem(text), edited(text, other)
+        assert (stem.fingerprint(text) == text_fingerprint(text)).all() and (stem.fingerprint(changed) == text_fingerprint(changed)).all()
+        assert (stem.fingerprint(text) == text_fingerprint(text)).all()  # the stem is as before
+    hashed, minima = [], lz_fingerprint._minima
+    monkeypatch.setattr(lz_fingerprint, "_minima", lambda text, ends, start=0: hashed.append(ends[-1] - start if len(ends) else 0) or minima(text, ends, start))
+    list(lz_fingerprint._chain(iter([lz_fingerprint.pd.DataFrame({"doc_id": [2, 1], "text": [texts[-1], other], "border": [False, False]})])))
+    assert sum(hashed) < 1.5 * len(texts[-1]) + 1.1 * len(other)

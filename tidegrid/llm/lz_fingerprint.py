@@ -22,46 +22,84 @@ class Parser:
     """Dictionary parse of a text that can be continued: each phrase is a known phrase and one more character."""
 
     def __init__(self) -> None:
-        self.known: set[str] = set()
-        self.ends: list[int] = []
+        self.known: dict[str, None] = {}  # the phrases in the order of the text
         self.open, self.at = "", 0  # what has been read of an unfinished phrase, and the position
 
     def feed(self, text: str) -> Parser:
-        known, add, end, cur = self.known, self.known.add, self.ends.append, self.open
-        for at, ch in enumerate(text, self.at + 1):
+        known, cur = self.known, self.open
+        for ch in text:
             cur += ch
             if cur not in known:
-                add(cur)
-                end(at)
+                known[cur] = None
                 cur = ""
         self.open, self.at = cur, self.at + len(text)
         return self
 
     def fork(self) -> Parser:
         out = Parser()
-        out.known, out.ends, out.open, out.at = self.known.copy(), self.ends.copy(), self.open, self.at
+        out.known, out.open, out.at = self.known.copy(), self.open, self.at
         return out
 
+    def branch(self, text: str) -> np.ndarray:
+        """Ends of the phrases that ``text`` would add, an unfinished one at its end included. The parser stays as it is."""
+        known, cur = self.known, self.open
+        added: dict[str, None] = {}
+        for ch in text:
+            cur += ch
+            if cur not in known and cur not in added:
+                added[cur] = None
+                cur = ""
+        return self.at - len(self.open) + _ends(added, cur)
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Ends of the finished phrases."""
+        return _ends(self.known, "")
+
     def phrases(self) -> np.ndarray:
         """Ends of all phrases; an unfinished one at the end of the text counts."""
-        return np.array([*self.ends, *([self.at] if self.open else [])], np.int64)
+        return _ends(self.known, self.open)
+
+
+def _ends(phrases: dict[str, None], unfinished: str) -> np.ndarray:
+    lengths = [*map(len, phrases)]
+    if unfinished:
+        lengths.append(len(unfinished))
+    return np.cumsum(np.array(lengths, np.int64))
 
 
 def fingerprint(text: str, ends: np.ndarray) -> np.ndarray:
     """Minimum of each hash function over the text's phrases, 16 bits each; all zero for an empty text."""
+    return _folded(_minima(text, ends)) if len(ends) else np.zeros(HASHES, np.uint16)
+
+
+PART = 256  # phrases whose hashes are held at a time: they stay in the processor's cache
+_products = np.empty((PART, HASHES), np.uint64)
+
+
+def _minima(text: str, ends: np.ndarray, start: int = 0) -> np.ndarray:
+    """Minimum of each hash function over the phrases with these ends, the first of which begins at ``start``."""
+    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     if not len(ends):
-        return np.zeros(HASHES, np.uint16)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        return low
+    codes = np.frombuffer(text[start : ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    ends = ends - start
     powers, back = _powers(len(codes))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers, dtype=np.uint64)])
     starts = np.concatenate([[0], ends[:-1]])
     h = (sums[ends] - sums[starts]) * back[starts]  # the polynomial of the phrase, wherever it stands
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4096):
-        part = h[i : i + 4096, None] * FACTORS + SHIFTS
-        low = np.minimum(low, part.min(0))
+    for i in range(0, len(h), PART):
+        some = h[i : i + PART, None]
+        part = _products[: len(some)]
+        np.multiply(some, FACTORS, out=part)
+        part += SHIFTS
+        np.minimum(low, part.min(0), out=low)
+    return low
+
+
+def _folded(low: np.ndarray) -> np.ndarray:
     return ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -143,14 +181,31 @@ def neighbour_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 SCHEMA = "doc_id %s, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+class Stem:
+    """What an edit leaves of a text, parsed and hashed once for both: only what follows is parsed for each."""
+
+    def __init__(self, text: str) -> None:
+        self.parser = Parser().feed(text[: len(text) - len(text) // 3])
+        ends = self.parser.ends
+        self.start = int(ends[-1]) if len(ends) else 0  # of the phrase that is open
+        self.low = _minima(text, ends)
+
+    def fingerprint(self, text: str) -> np.ndarray:
+        """That of a whole text which begins with the stem."""
+        ends = self.parser.branch(text[self.parser.at :])
+        if not text:
+            return np.zeros(HASHES, np.uint16)
+        return _folded(np.minimum(self.low, _minima(text, ends, self.start)))
+
+
 def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order within each range, its border row last: each is compared with the row after it."""
-    last = None  # (doc_id, text, parser of what an edit leaves, fingerprint)
+    last = None  # (doc_id, text, what an edit leaves, fingerprint)
     for frame in frames:
         out = []
         for doc_id, text, border in zip(frame["doc_id"], frame["text"], frame["border"], strict=True):
-            stem = Parser().feed(text[: len(text) - len(text) // 3])
-            own = fingerprint(text, stem.fork().feed(text[stem.at :]).phrases())
+            stem = Stem(text)
+            own = stem.fingerprint(text)
             if last is not None:
                 out.append(_compared(last, text, own))
             last = None if border else (doc_id, text, stem, own)
@@ -160,6 +215,6 @@ def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _compared(row: tuple, other: str, next_print: np.ndarray) -> tuple:
     doc_id, text, stem, own = row
     changed = edited(text, other)
-    new = fingerprint(changed, stem.feed(changed[stem.at :]).phrases())
+    new = stem.fingerprint(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
     return doc_id, len(text), digest, own.astype(">u2").tobytes().hex(), new.astype(">u2").tobytes().hex(), likeness(own, new), likeness(own, next_print)
