@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -131,6 +132,60 @@ def test_blocks_need_no_sorting_aggregates(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_rows_of_blocks_move_once(spark):
+    """One shuffle of the rows, read by the rows and by the summary of their chunks, in code that is short enough to be compiled."""
+    rows = spark.createDataFrame([(1, 0, "112001 1:00")], "series int, pos long, raw string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = resolve_blocks(add_candidates(rows, "raw", seconds=True), Series())._jdf.queryExecution()
+        text = spark._jvm.PythonSQLUtils.explainString(plan, "formatted")
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert len([columns for columns in moved if "cands#" in columns]) == 1 and "ReusedExchange" in text
+    assert "lambda" not in text.lower()
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 50])
+def test_blocks_of_any_shape_over_chunks(spark, chunk):
+    """Runs of 0 to 4 readings, shorter and longer than a chunk, series without a certain row, a NULL key."""
+    rng, start = random.Random(chunk), datetime(2011, 1, 1)
+    rows, expected = [], {}
+    for key in (1, 2, 3, None):
+        series: list[list[datetime]] = []
+        while len(series) < 120:
+            n = rng.choice((2, 3, 0) if key == 2 else (0, 1, 1, 2, 2, 3, 4))
+            for _ in range(rng.choice((1, 2, 7, 20))):
+                at = start + timedelta(hours=len(series))
+                series.append([at + timedelta(days=d) for d in rng.sample((-300, -40, -3, 0, 2, 25, 200), n)])
+        expected[key] = resolve_brute(series)
+        rows += [(key, p, [int((t - datetime(1970, 1, 1)).total_seconds()) for t in c]) for p, c in enumerate(series)]
+    seconds = rows[0][2] or [5]
+    rows += [(1, None, seconds), (1, None, []), (1, None, None)]
+    df = spark.createDataFrame(rows, "series int, pos long, cands array<bigint>").repartition(5)
+    got = resolve_blocks(df, Series(chunk=chunk)).collect()
+    assert len(got) == len(rows)
+    for key, times in expected.items():
+        assert [r["ts"] for r in sorted((r for r in got if r["series"] == key and r["pos"] is not None), key=lambda r: r["pos"])] == times
+    spare = [r for r in got if r["pos"] is None]
+    assert [r["ts"] for r in spare if r["cands"]] == [datetime(1970, 1, 1) + timedelta(seconds=seconds[0])]
+    assert [r["ts"] for r in spare if not r["cands"]] == [None, None]
+
+
+def test_candidates_of_any_digits_equal_trying_all_cuts(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("0112239") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    texts += [f"{d}20{y:02d}" for d in range(10000) for y in (0, 1, 20, 30, 31)]
+    df = spark.createDataFrame([(f"{t} {i % 25}:00",) for i, t in enumerate(texts)], "raw string")
+    for seconds in (False, True):
+        for r in add_candidates(df, "raw", seconds=seconds).collect():
+            right = brute(r["raw"]) if not r["raw"].endswith(" 24:00") else []
+            assert r["cands"] == ([int((t - datetime(1970, 1, 1)).total_seconds()) for t in right] if seconds else right), r["raw"]
+
+
 def test_readings_beyond_the_format_end_the_job(spark):
     df = spark.createDataFrame([(1, p, list(range(0, 3600 * n, 3600))) for p, n in enumerate((1, 5, 1))], "series int, pos long, cands array<bigint>")
     with pytest.raises(Exception, match="more than 4 readings"):

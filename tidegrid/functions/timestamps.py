@@ -47,28 +47,47 @@ def add_candidates(df: DataFrame, raw: str, into: str = "cands", seconds: bool =
     numbers = cut.select(
         *df.columns, "__hour", F.length(digits).alias("__size"), F.when(plain, digits.try_cast("int")).alias("__number")
     )
-    every = [_reading(year_len, month_len, seconds) for year_len in (4, 2) for month_len in (2, 1)]
-    empty = F.array().cast("array<bigint>" if seconds else "array<timestamp_ntz>")
-    found = F.array_distinct(F.array_compact(F.array(*every)))
-    usable = F.col("__number").isNotNull() & F.col("__hour").between(0, 23)
-    cands = F.when(usable, found).otherwise(empty)
-    return numbers.select(*df.columns, cands.alias(into))
-
-
-def _reading(year_len: int, month_len: int, seconds: bool) -> Column:
-    """The digits as month (``month_len`` digits), day (the rest) and year, NULL if not legal."""
-    number, hour = F.col("__number"), F.col("__hour")
-    day_len = F.col("__size") - year_len - month_len
-    base = 10**year_len
-    year = number % base + (CENTURY if year_len == 2 else 0)
-    front = F.floor(number / base).cast("int")
-    shift = F.when(day_len == 1, 10).otherwise(100)
-    month, day = F.floor(front / shift).cast("int"), front % shift
+    # Steps of their own: inside one expression Spark would write out, and compute, a month or a day anew wherever it is used,
+    # and generated code of that length would not be compiled.
+    split = numbers.select(*df.columns, "__hour", "__size", *_split("a", FULL_YEAR), *_split("b", FULL_YEAR + 1))
+    dated = split.select(*df.columns, "__hour", "__size", *_dated("a", F.col("__size") == 8), *_dated("b", F.lit(True)))
+    kind = "bigint" if seconds else "timestamp_ntz"
+    every = F.array(_reading("a", seconds), F.when(F.col("__size").between(5, 7), _reading("b", seconds)))
+    # Absent readings go without a lambda, which would be interpreted with all that is inside. The two readings of a text
+    # differ: in the month, or in a day of one digit and one of two.
+    return dated.select(*df.columns, F.array_except(every, F.array(F.lit(None).cast(kind))).alias(into))
+
+
+# A text of 4 to 8 digits has at most two readings, ``a`` and ``b`` in their order. Digits of year, month and day:
+# 4: a 2 1 1; 5: a 2 2 1, b 2 1 2; 6: a 4 1 1, b 2 2 2; 7: a 4 2 1, b 4 1 2; 8: a 4 2 2.
+FULL_YEAR = 6  # from this length on ``a`` has a year of four digits, ``b`` from the next
+
+
+def _div(number: Column, base: int) -> Column:
+    return F.call_function("div", number, F.lit(base)).cast("int")
+
+
+def _split(name: str, full: int) -> list[Column]:
+    """The year, NULL if it is not legal, and the digits before it."""
+    number, long = F.col("__number"), F.col("__size") >= full
+    whole = number % 10000
+    year = F.when(long, F.when(whole.between(FIRST_YEAR, LAST_YEAR), whole)).otherwise(number % 100 + CENTURY)
+    return [year.alias(f"__year_{name}"), F.when(long, _div(number, 10000)).otherwise(_div(number, 100)).alias(f"__front_{name}")]
+
+
+def _dated(name: str, two: Column) -> list[Column]:
+    """Year, month and day, which has ``two`` digits or one."""
+    front, year = F.col(f"__front_{name}"), F.col(f"__year_{name}")
+    month = F.when(two, _div(front, 100)).otherwise(_div(front, 10))
+    return [year, month.alias(f"__month_{name}"), F.when(two, front % 100).otherwise(front % 10).alias(f"__day_{name}")]
+
+
+def _reading(name: str, seconds: bool) -> Column:
+    """The reading, NULL if it is not legal."""
+    year, month, day, hour = (F.col(c) for c in (f"__year_{name}", f"__month_{name}", f"__day_{name}", "__hour"))
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     last_day = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    legal = day_len.between(1, 2) & month.between(1, 12) & (day >= 1) & (day <= last_day)
-    if year_len == 4:
-        legal = legal & year.between(FIRST_YEAR, LAST_YEAR)
+    legal = month.between(1, 12) & (day >= 1) & (day <= last_day) & hour.between(0, 23)
     if seconds:
         date = F.make_date(year, month, day)
         return F.when(legal, F.unix_date(date).cast("long") * 86400 + hour * 3600)
